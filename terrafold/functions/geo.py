@@ -25,6 +25,11 @@ def point(x, y) -> Column:
     return F.struct(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once per row, however often ``fn`` reads it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 # -- distances and angles -------------------------------------------------------------------------
 
 def haversine(lat1, lon1, lat2, lon2) -> Column:
@@ -339,8 +344,12 @@ def clip_ring_rect(ring, min_x, min_y, max_x, max_y) -> Column:
     """A ring cut to a rectangle, one half-plane after the other; empty when nothing is left."""
     own = F.slice(col(ring), F.lit(1), F.size(col(ring)) - 1)
     for axis, bound, keep_above in (("x", min_x, True), ("x", max_x, False), ("y", min_y, True), ("y", max_y, False)):
-        own = _cut_half_plane(own, axis, col(bound), keep_above)
-    return F.when(F.size(own) >= 3, F.concat(own, F.array(own[0]))).otherwise(F.slice(own, F.lit(1), F.lit(0)))
+        own = let(own, _half_plane(axis, col(bound), keep_above))
+    return let(own, lambda p: F.when(F.size(p) >= 3, F.concat(p, F.slice(p, F.lit(1), F.lit(1)))).otherwise(F.slice(p, F.lit(1), F.lit(0))))
+
+
+def _half_plane(axis: str, bound: Column, keep_above: bool):
+    return lambda points: _cut_half_plane(points, axis, bound, keep_above)
 
 
 def _cut_half_plane(points: Column, axis: str, bound: Column, keep_above: bool) -> Column:
