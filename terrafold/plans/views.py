@@ -213,8 +213,20 @@ FROM (SELECT CAST(l_orderkey AS BIGINT) AS group_id, CAST(l_linenumber AS BIGINT
 """
 
 
-DEPENDS = {"way": ["node"]}
-VIEW_NAMES = ["area", "poi", "town", "node", "way", "building", "cell", "ping", "boundary", "interval", "tagset"]
+def _restriction(d: Dialect) -> str:
+    """Turn restrictions at lattice crossings: from a row into a column, and at some also the other way round."""
+    kind = d.pick("CAST((k - k % 7) / 7 AS BIGINT) % 8", *q(
+        "no_left_turn", "no_right_turn", "no_straight_on", "no_u_turn", "only_left_turn", "only_right_turn", "only_straight_on", "no_entry"))
+    row, column = "concat('h', town, '_', lrow)", "concat('v', town, '_', lcol)"
+    return f"""
+SELECT concat('r', k) AS source_id, area_id, k AS ord, {row} AS from_way, node_id AS via_node, {column} AS to_way, {kind} AS kind FROM node_v WHERE k % 7 = 0
+UNION ALL
+SELECT concat('q', k), area_id, k + 1000000000, {column}, node_id, {row}, {kind} FROM node_v WHERE k % 14 = 0 OR lrow = 0 AND k % 3 = 1
+"""
+
+
+DEPENDS = {"way": ["node"], "restriction": ["node"]}
+VIEW_NAMES = ["area", "poi", "town", "node", "way", "building", "cell", "ping", "boundary", "interval", "tagset", "restriction"]
 
 
 def with_views(body: str, *names: str) -> str:

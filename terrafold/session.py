@@ -21,6 +21,9 @@ def build_session(app: str = "terrafold", master: str | None = None, shuffle_par
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # One JVM does everything in local mode; a cluster sizes its own driver and executors.
+            builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
