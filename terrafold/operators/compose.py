@@ -181,3 +181,12 @@ def drop_area(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFr
     """Every table without the rows of the given areas."""
     ids = gone.select("area_id").distinct()
     return {name: df.join(ids, "area_id", "left_anti") for name, df in tables.items()}
+
+
+def road_graph_hash(blocks: DataFrame) -> DataFrame:
+    """SHA-256 of an area's block ids, sorted and joined by newlines.
+
+    The digest is defined over one text per area, so an area's ids meet in one row: 37 bytes per block, and an area is at most
+    10 square kilometres (see ``rules.bbox_problem``) with blocks of at least some square metres."""
+    listed = blocks.groupBy("area_id").agg(F.array_sort(F.collect_list("block_id")).alias("_b"))
+    return listed.select("area_id", F.sha2(F.array_join("_b", "\n"), 256).alias("hash"))

@@ -156,7 +156,8 @@ def _nearest_round(queries, targets, target_id, on, radius, shape) -> DataFrame:
         dist = geo.metric_distance_to_line("q_lat", "q_lon", "_shape")
     hits = left.join(right, keys).select("query_id", F.col(target_id).alias("_t"), dist.alias("_d")).filter(F.col("_d") <= radius)
     # min over (distance, id) combines map-side, so a query in a hot cell never gathers its candidates.
-    best = hits.groupBy("query_id").agg(F.min(F.struct("_d", "_t")).alias("_b"))
+    # Distances equal to a micrometre are ties (two streets meeting at the nearest corner), decided by the id.
+    best = hits.groupBy("query_id").agg(F.min(F.struct(F.round("_d", 6).alias("_tie"), "_t", "_d")).alias("_b"))
     return queries.join(best, "query_id", "left").select(
         *queries.columns, F.col("_b._t").alias("nearest_id"), F.col("_b._d").alias("distance_m")
     )
@@ -165,3 +166,16 @@ def _nearest_round(queries, targets, target_id, on, radius, shape) -> DataFrame:
 def best_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """First row per key by an order that is unique within the key."""
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_rn = 1").drop("_rn")
+
+
+def lines_within_radius(centers: DataFrame, lines: DataFrame, radius_m: float) -> DataFrame:
+    """(center, line) pairs at most ``radius_m`` apart, lines in ``line``."""
+    size = max(radius_m, 50.0)
+    disc = cells.disc_box("c_lat", "c_lon", radius_m)
+    left = centers.withColumn("_d", F.struct(*(v.alias(k) for k, v in disc.items())))
+    left = cells.with_box_cells(left, F.col("_d"), size)
+    right = lines.withColumn("_e", geo.envelope("line"))
+    right = cells.with_box_cells(right, F.col("_e"), size)
+    out = left.join(right, ["_band", "_cell"]).filter(cells.meets_here(F.col("_d"), F.col("_e"), size))
+    out = out.withColumn("distance_m", geo.metric_distance_to_line("c_lat", "c_lon", "line"))
+    return out.filter(F.col("distance_m") <= radius_m).drop("_d", "_e", "_band", "_cell")
