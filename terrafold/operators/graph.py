@@ -174,32 +174,36 @@ def shortest_paths(edges: DataFrame, successors: DataFrame, od: DataFrame, cost:
     best arrival are left out. It ends when no frontier is left."""
     e = edges.select("area_id", "segment_id", "from_node", "to_node", F.col(cost).alias("c"))
     step = settle(successors.join(e.select("area_id", F.col("segment_id").alias("outgoing"), "to_node", "c"), ["area_id", "outgoing"]))
-    trips = settle(od.filter("origin <> destination"))
-    start = trips.join(e.withColumnRenamed("from_node", "origin"), ["area_id", "origin"])
-    frontier = settle(start.select("od_id", "area_id", F.col("segment_id").alias("edge"), "to_node", "destination", F.col("c").alias("d"), F.lit(None).cast("string").alias("prev")))
-    best = frontier.select("od_id", "edge", "d", "prev", (F.col("to_node") == F.col("destination")).alias("arrived"))
+    start = od.filter("origin <> destination").join(e.withColumnRenamed("from_node", "origin"), ["area_id", "origin"])
+    state = settle(start.select(
+        "od_id", "area_id", F.col("segment_id").alias("edge"), "destination", (F.col("to_node") == F.col("destination")).alias("arrived"),
+        F.col("c").alias("d"), F.lit(None).cast("string").alias("prev"), F.lit(True).alias("fresh"),
+    ))
     for _ in range(max_rounds):
-        bound = best.filter("arrived").groupBy("od_id").agg(F.min("d").alias("bound"))
-        open_ = frontier.filter("to_node <> destination").join(bound, "od_id", "left").filter("bound IS NULL OR d < bound").drop("bound")
+        bound = state.filter("arrived").groupBy("od_id").agg(F.min("d").alias("bound"))
+        open_ = state.filter("fresh AND NOT arrived").join(bound, "od_id", "left").filter("bound IS NULL OR d < bound")
+        if open_.isEmpty():
+            break
         nxt = open_.select("od_id", "area_id", F.col("edge").alias("incoming"), "destination", "d").join(step, ["area_id", "incoming"])
-        cand = nxt.groupBy("od_id", "area_id", F.col("outgoing").alias("edge"), "to_node", "destination").agg(
-            F.min(F.struct((F.col("d") + F.col("c")).alias("d"), F.col("incoming").alias("prev"))).alias("m")
+        cand = nxt.groupBy("od_id", F.col("outgoing").alias("edge")).agg(
+            F.min(F.struct((F.col("d") + F.col("c")).alias("d"), F.col("incoming").alias("prev"))).alias("m"),
+            F.first("area_id").alias("m_area"), F.first("destination").alias("m_destination"), F.first("to_node").alias("m_to"),
         )
-        known = best.select("od_id", "edge", F.col("d").alias("known"))
-        improved = cand.join(known, ["od_id", "edge"], "left").filter("known IS NULL OR m.d < known")
-        frontier = settle(improved.select("od_id", "area_id", "edge", "to_node", "destination", "m.d", "m.prev"))
-        if frontier.isEmpty():
-            break
-        gained = frontier.select("od_id", "edge", "d", "prev", (F.col("to_node") == F.col("destination")).alias("arrived"))
-        kept = best.join(gained.select("od_id", "edge"), ["od_id", "edge"], "left_anti")
-        best = settle(kept.unionByName(gained))
-    arrived = best.filter("arrived").groupBy("od_id").agg(F.min(F.struct("d", F.col("edge"))).alias("a"))
+        # One outer join carries the old states over and marks the improved ones as the next frontier.
+        j = state.join(cand, ["od_id", "edge"], "full_outer")
+        better = F.col("m").isNotNull() & (F.col("d").isNull() | (F.col("m.d") < F.col("d")))
+        state = settle(j.select(
+            "od_id", F.coalesce("area_id", "m_area").alias("area_id"), "edge", F.coalesce("destination", "m_destination").alias("destination"),
+            F.coalesce("arrived", F.col("m_to") == F.col("m_destination")).alias("arrived"), F.when(better, F.col("m.d")).otherwise(F.col("d")).alias("d"),
+            F.when(better, F.col("m.prev")).otherwise(F.col("prev")).alias("prev"), better.alias("fresh"),
+        ))
+    arrived = state.filter("arrived").groupBy("od_id").agg(F.min(F.struct("d", "edge")).alias("a"))
+    same = F.col("origin") == F.col("destination")
     answers = od.join(arrived, "od_id", "left").select(
-        "od_id", "area_id", "origin", "destination",
-        F.when(F.col("origin") == F.col("destination"), "ok").when(F.col("a").isNotNull(), "ok").otherwise("no_route").alias("status"),
-        F.when(F.col("origin") == F.col("destination"), F.lit(0.0)).otherwise(F.col("a.d")).alias("total_m"), F.col("a.edge").alias("last_edge"),
+        "od_id", "area_id", "origin", "destination", F.when(same | F.col("a").isNotNull(), "ok").otherwise("no_route").alias("status"),
+        F.when(same, F.lit(0.0)).otherwise(F.col("a.d")).alias("total_m"), F.col("a.edge").alias("last_edge"),
     )
-    return answers, best.select("od_id", "edge", "d", "prev")
+    return answers, state.select("od_id", "edge", "d", "prev")
 
 
 def reconstruct(answers: DataFrame, tree: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Imports every query module so that ``QUERIES`` is complete."""
 
-from terrafold.plans import q_areas, q_geometry, q_graph, q_network, q_spatial, q_tags, q_windows  # noqa: F401
+from terrafold.plans import q_areas, q_geometry, q_graph, q_network, q_raster, q_spatial, q_tags, q_windows  # noqa: F401
 from terrafold.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -131,12 +131,12 @@ def recent_areas(v: Views):
 
 @query(
     "search_areas",
-    "SELECT area_id FROM area_v WHERE lower(concat(coalesce(place_name, ''), ' ', status)) LIKE '%n%1%' AND lower(concat(coalesce(place_name, ''), ' ', status)) LIKE '%complete%'",
+    "SELECT area_id FROM area_v WHERE contains(lower(concat(coalesce(place_name, ''), ' ', status)), 'nation_1') AND contains(lower(concat(coalesce(place_name, ''), ' ', status)), 'complete')",
     ["area"],
 )
 def search_areas(v: Views):
     hay = F.concat_ws(" ", F.coalesce("place_name", F.lit("")), "status")
-    return compose.search_areas(v.area, "  An complete ", hay, "size").select("area_id")
+    return compose.search_areas(v.area, "  Nation_1 complete ", hay, "size").select("area_id")
 
 
 @query(

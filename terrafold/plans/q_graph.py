@@ -36,9 +36,18 @@ def same_name_links(v: Views):
     return graph.connected_links(ways_with_lines(v).withColumn("norm_name", tags.norm_name("name"))).select("a", "b")
 
 
-@query("divided_road_links", f"WITH {NAMED} SELECT a, b FROM divided", NET_VIEWS)
+DOUBLED = NAMED.replace("ends AS (SELECT way_id,", """rnode2 AS (SELECT way_id, area_id, pos, lat, lon FROM rnode UNION ALL SELECT concat(way_id, 'x'), area_id, pos, lat + CAST(0.00008 AS DOUBLE), lon + CAST(0.00008 AS DOUBLE) FROM rnode),
+  nway2 AS (SELECT way_id, area_id, dir, norm FROM nway UNION ALL SELECT concat(way_id, 'x'), area_id, -dir, norm FROM nway),
+  ends AS (SELECT way_id,""").replace("FROM rnode GROUP BY way_id)", "FROM rnode2 GROUP BY way_id)").replace("FROM nway w JOIN ends", "FROM nway2 w JOIN ends").replace("FROM rnode p JOIN rnode q", "FROM rnode2 p JOIN rnode2 q")
+
+
+@query("divided_road_links", f"WITH {DOUBLED} SELECT a, b FROM divided", NET_VIEWS)
 def divided_road_links(v: Views):
-    return graph.divided_links(ways_with_lines(v).withColumn("norm_name", tags.norm_name("name"))).select("a", "b")
+    # Every street gets a second carriageway about 12 m away, drawn the same way and driven the other way.
+    w = ways_with_lines(v).withColumn("norm_name", tags.norm_name("name"))
+    moved = F.transform("line", lambda p: geo.point(p["x"] + 0.00008, p["y"] + 0.00008))
+    second = w.withColumn("source_id", F.concat("source_id", F.lit("x"))).withColumn("line", moved).withColumn("direction", -F.col("direction"))
+    return graph.divided_links(w.unionByName(second)).select("a", "b")
 
 
 STREETS = NAMED.replace("wr AS", "RECURSIVE wr AS", 1) + """,
