@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo, ids, rules, tags
 from terrafold.operators import spatial
+from terrafold.session import settle
 
 # Fixed values.
 MIN_EDGE_M = 1e-6
@@ -53,27 +56,54 @@ def _point_at(ring: Column, position: Column) -> Column:
     return F.aggregate(geo.steps(ring), start, step, lambda acc: acc["p"])
 
 
+def _walk(xy: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Points of a ring at distances along it."""
+    cum = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(xy, axis=0).T))])
+    return np.column_stack([np.interp(at, cum, xy[:, 0]), np.interp(at, cum, xy[:, 1])])
+
+
+def _inside(xy: np.ndarray, p: np.ndarray) -> np.ndarray:
+    a, b = xy[:-1], xy[1:]
+    spans = (a[:, 1] > p[:, 1:2]) != (b[:, 1] > p[:, 1:2])
+    rise = np.where(b[:, 1] == a[:, 1], 1.0, b[:, 1] - a[:, 1])
+    return (spans & (p[:, 0:1] < a[:, 0] + (p[:, 1:2] - a[:, 1]) / rise * (b[:, 0] - a[:, 0]))).sum(axis=1) % 2 == 1
+
+
+def _sample_rings(flat: pd.Series) -> pd.DataFrame:
+    """Samples and inward normals of each ring (x, y, x, y, ... in metres)."""
+    rows = {k: [] for k in ("x", "y", "nx", "ny", "spacing", "length_m")}
+    for ring in flat:
+        xy = np.asarray(ring, dtype=float).reshape(-1, 2)
+        length = float(np.hypot(*np.diff(xy, axis=0).T).sum())
+        n = max(1, round(length / SAMPLE_M))
+        at = (np.arange(n) + 0.5) * (length / n)
+        p, span = _walk(xy, at), _walk(xy, (at + HALF_SPAN_M) % length) - _walk(xy, (at - HALF_SPAN_M) % length)
+        norm = np.hypot(span[:, 0], span[:, 1])
+        flat_spot = norm <= MIN_EDGE_M
+        span[flat_spot], norm[flat_spot] = (1.0, 0.0), 1.0
+        normal = np.column_stack([-span[:, 1], span[:, 0]]) / norm[:, None]
+        normal[~_inside(xy, p + normal * PROBE_M)] *= -1
+        for k, v in zip(rows, (p[:, 0], p[:, 1], normal[:, 0], normal[:, 1], length / n, length)):
+            rows[k].append(v)
+    return pd.DataFrame(rows)
+
+
 def frontage_samples(rings: DataFrame) -> DataFrame:
-    """Samples about every metre along each ring, half a step off its start, with the unit normal into the ring."""
-    r = rings.withColumn("length_m", geo.planar_length("ring")).filter(F.col("length_m") > MIN_EDGE_M)
-    r = r.withColumn("n", F.greatest(F.lit(1), F.bround(F.col("length_m") / SAMPLE_M, 0).cast("int"))).withColumn("spacing", F.col("length_m") / F.col("n"))
-    s = r.withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("at", (F.col("idx") + 0.5) * F.col("spacing"))
-    around = lambda d: _point_at(F.col("ring"), F.pmod(F.col("at") + d, F.col("length_m")))
-    s = s.select("block_id", "ring_index", "idx", "n", "spacing", "length_m", "ring", _point_at(F.col("ring"), F.col("at")).alias("p"), around(-HALF_SPAN_M).alias("b"), around(HALF_SPAN_M).alias("a"))
-    dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
-    norm = F.hypot(dx, dy)
-    flat = norm <= MIN_EDGE_M
-    nx, ny = F.when(flat, 0.0).otherwise(F.try_divide(-dy, norm)), F.when(flat, 1.0).otherwise(F.try_divide(dx, norm))
-    s = s.select("block_id", "ring_index", "idx", "n", "spacing", "length_m", "ring", F.col("p.x").alias("x"), F.col("p.y").alias("y"), nx.alias("nx"), ny.alias("ny"))
-    inward = geo.point_in_ring(F.col("x") + F.col("nx") * PROBE_M, F.col("y") + F.col("ny") * PROBE_M, "ring")
-    sign = F.when(inward, 1.0).otherwise(-1.0)
-    return s.withColumn("_s", sign).withColumn("nx", F.col("nx") * F.col("_s")).withColumn("ny", F.col("ny") * F.col("_s")).drop("_s", "ring")
+    """Samples about every metre along each ring, half a step off its start, with the unit normal into the ring. One ring is one
+    numpy step; rings are spread over the cluster as the frame is."""
+    walk = F.pandas_udf(_sample_rings, "x array<double>, y array<double>, nx array<double>, ny array<double>, spacing double, length_m double")
+    long = rings.filter(geo.planar_length("ring") > MIN_EDGE_M)
+    s = long.select("block_id", "ring_index", walk(F.flatten(F.transform("ring", lambda p: F.array(p["x"], p["y"])))).alias("s"))
+    cols = ["x", "y", "nx", "ny"]
+    e = s.select("block_id", "ring_index", "s.spacing", "s.length_m", F.size("s.x").alias("n"), F.posexplode(F.arrays_zip(*(F.col(f"s.{c}") for c in cols))).alias("idx", "z"))
+    return e.select("block_id", "ring_index", "idx", "n", "spacing", "length_m", *(F.col(f"z.{c}").alias(c) for c in cols))
 
 
 def ray_hits(samples: DataFrame, buildings: DataFrame) -> DataFrame:
     """Per sample the first building its 25 m inward ray meets (``building_id, hit_m``), NULL when none; the lowest id wins ties.
 
     ``buildings``: ``block_id, building_id, ring`` in the block's metres. Rays and footprints meet in 25 m cells of their block."""
+    samples = settle(samples)
     ex, ey = F.col("x") + F.col("nx") * RAY_M, F.col("y") + F.col("ny") * RAY_M
     g = lambda c: F.floor(c / RAY_M).cast("int")
     s = samples.withColumn("ex", ex).withColumn("ey", ey)
@@ -137,8 +167,8 @@ def measure_blocks(rings: DataFrame, buildings: DataFrame) -> tuple[DataFrame, D
     ``measures``: one row per building of a block with a frontage: ring, longest run, width, depth across the ring there, median setback, levels. A
     building no ray reaches has width and depth 0 and its distance to the nearest ring as setback."""
     samples = frontage_samples(rings)
-    hits = ray_hits(samples, buildings)
-    runs = frontage_runs(hits)
+    hits = settle(ray_hits(samples, buildings))
+    runs = settle(frontage_runs(hits))
     covered = hits.groupBy("block_id").agg(F.count("building_id").alias("c"), F.count("*").alias("t"))
     coverage = covered.select("block_id", (F.col("c") / F.col("t")).alias("coverage"))
     mine = runs.filter("building_id IS NOT NULL")
@@ -151,7 +181,8 @@ def measure_blocks(rings: DataFrame, buildings: DataFrame) -> tuple[DataFrame, D
     j = chosen.join(setback, ["block_id", "building_id"]).join(rings, ["block_id", "ring_index"]).join(buildings.withColumnRenamed("ring", "foot"), ["block_id", "building_id"])
     middle = F.pmod(F.col("start_m") + F.col("width_m") / 2, F.col("length_m"))
     at = lambda d: _point_at(F.col("ring"), F.pmod(F.col("_mid") + d, F.col("length_m")))
-    j = j.withColumn("_mid", middle).withColumn("_b", at(-HALF_SPAN_M)).withColumn("_a", at(HALF_SPAN_M))
+    j = settle(j.withColumn("_mid", middle))
+    j = settle(j.select("*", at(-HALF_SPAN_M).alias("_b"), at(HALF_SPAN_M).alias("_a")))
     j = j.withColumn("_dx", F.col("_a.x") - F.col("_b.x")).withColumn("_dy", F.col("_a.y") - F.col("_b.y")).withColumn("_n", F.hypot("_dx", "_dy"))
     across = F.transform("foot", lambda p: F.try_divide(-p["x"] * F.col("_dy") + p["y"] * F.col("_dx"), F.col("_n")))
     depth = F.when(F.col("_n") <= MIN_EDGE_M, F.lit(0.0)).otherwise(F.array_max(across) - F.array_min(across))

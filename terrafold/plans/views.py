@@ -225,8 +225,35 @@ SELECT concat('q', k), area_id, k + 1000000000, {column}, node_id, {row}, {kind}
 """
 
 
+def _plot(d: Dialect) -> str:
+    """A rectangular buildable area per customer in local metres, with the block attributes analytics compare."""
+    ring = d.list(*(d.point(x, y) for x, y in (("0 * w", "0 * h"), ("w", "0 * h"), ("w", "h"), ("0 * w", "h"), ("0 * w", "0 * h"))))
+    group = d.pick("k % 3", *q("local", "collector", "arterial"))
+    style = d.pick("CAST((k - k % 4) / 4 AS BIGINT) % 3", *q("regular", "sparse", "informal"))
+    return f"""
+SELECT concat('P', k) AS block_id, k, concat('R', r) AS area_id, w, h, {ring} AS ring, w * h AS area_m2, {group} AS road_group, {style} AS style,
+       k % 11 = 0 AS is_clipped, k % 13 = 0 AS is_median, lat, lon
+FROM (SELECT k, r, CAST(60 + 10 * (k % 5) AS DOUBLE) AS w, CAST(40 + 10 * (k % 4) AS DOUBLE) AS h,
+             {_d(10)} + {_d(0.03)} * r + ((37 * k) % 1000) * {_d(0.000027)} AS lat, -{_d(84)} + ((91 * k) % 1000) * {_d(0.000027)} AS lon
+      FROM (SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_nationkey % 5 AS BIGINT) AS r FROM customer) b0) base
+"""
+
+
+def _house(d: Dialect) -> str:
+    """A house per order on its customer's plot, in one of six slots at the bottom or the top side."""
+    ring = d.list(*(d.point(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))))
+    return f"""
+SELECT concat('H', lpad(CAST(j AS {'STRING' if d.spark else 'VARCHAR'}), 9, '0')) AS building_id, concat('P', k) AS block_id, j, k, x0, y0, x1, y1, levels, {ring} AS ring
+FROM (SELECT j, k, CAST(3 + 9 * (j % 6) AS DOUBLE) AS x0, CAST(3 + 9 * (j % 6) + 6 + j % 3 AS DOUBLE) AS x1,
+        CAST(CASE WHEN j % 12 < 6 THEN 2 + j % 3 ELSE 40 + 10 * (k % 4) - 11 - j % 2 END AS DOUBLE) AS y0,
+        CAST(CASE WHEN j % 12 < 6 THEN 9 + j % 3 + j % 2 ELSE 40 + 10 * (k % 4) - 4 END AS DOUBLE) AS y1,
+        CASE WHEN j % 4 = 0 THEN NULL ELSE CAST(1 + j % 3 AS INT) END AS levels
+      FROM (SELECT CAST(o_orderkey AS BIGINT) AS j, CAST(o_custkey AS BIGINT) AS k FROM orders) b0) base
+"""
+
+
 DEPENDS = {"way": ["node"], "restriction": ["node"]}
-VIEW_NAMES = ["area", "poi", "town", "node", "way", "building", "cell", "ping", "boundary", "interval", "tagset", "restriction"]
+VIEW_NAMES = ["area", "poi", "town", "node", "way", "building", "cell", "ping", "boundary", "interval", "tagset", "restriction", "plot", "house"]
 
 
 def with_views(body: str, *names: str) -> str:
