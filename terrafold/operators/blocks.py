@@ -297,7 +297,8 @@ def match_references(subjects: DataFrame, exemplar_rows: DataFrame) -> DataFrame
     near = spatial.within_radius(s, exemplar_rows, REFERENCE_RADIUS_M)
     score = match_score("distance_m", "sg", "road_group", "sa", "area_m2", "ss", "style")
     own = F.when(F.col("center_id") == F.col("block_id"), F.lit(-1.0)).otherwise(score)
-    best = near.groupBy("center_id").agg(F.min(F.struct(own.alias("score"), "block_id", "distance_m")).alias("b"))
+    # Scores equal but for rounding noise are ties, decided by the id.
+    best = near.withColumn("score", own).groupBy("center_id").agg(F.min(F.struct(F.round("score", 9).alias("_tie"), "block_id", "score", "distance_m")).alias("b"))
     return subjects.select("block_id").join(best, F.col("block_id") == F.col("center_id"), "left").select("block_id", F.col("b.block_id").alias("reference_id"), F.when(F.col("b.score") < 0, F.lit(None)).otherwise(F.col("b.score")).alias("score"))
 
 

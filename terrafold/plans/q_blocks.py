@@ -197,7 +197,7 @@ def road_densities(v: Views):
 SCORE = "(CASE WHEN s.block_id = e.block_id THEN -1 ELSE d / 500 + CASE WHEN s.road_group = e.road_group THEN 0 ELSE 1 END + abs(ln(s.area_m2 / e.area_m2)) + CASE WHEN s.style = e.style THEN 0 ELSE 1 END END)"
 MATCH = f"""cand AS (SELECT s.block_id, e.block_id AS ref, {SCORE} AS score FROM (SELECT s.*, e.block_id AS eb, {o.hav('s.lat', 's.lon', 'e.lat', 'e.lon')} AS d FROM plot_v s JOIN plot_v e ON e.k % 4 = 1 AND abs(s.lat - e.lat) < 0.005 AND abs(s.lon - e.lon) < 0.005) s
    JOIN plot_v e ON e.block_id = eb WHERE d <= 500),
- best AS (SELECT block_id, arg_min(ref, (score, ref)) AS reference_id, min(score) AS score FROM cand GROUP BY block_id)"""
+ best AS (SELECT block_id, arg_min(ref, (round(score, 9), ref)) AS reference_id, min(score) AS score FROM cand GROUP BY block_id)"""
 
 
 @query(
