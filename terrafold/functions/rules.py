@@ -121,3 +121,14 @@ def check_constraints(df: DataFrame, table: str) -> DataFrame:
 
 def completed(areas: DataFrame) -> DataFrame:
     return areas.filter(F.col("status") == "completed")
+
+
+def check_boundaries(boundaries: DataFrame, areas: DataFrame) -> DataFrame:
+    """``boundary_id, violation``: boundaries that leave their area's box, and names used twice in one area (the trimmed name counts)."""
+    box = {k: F.col(k) for k in ("min_lat", "min_lon", "max_lat", "max_lon")}
+    j = boundaries.join(areas.select("area_id", *box), "area_id")
+    outside = j.filter(~covered_by("ring", box)).select("boundary_id", F.lit("outside_area").alias("violation"))
+    named = boundaries.select("boundary_id", "area_id", F.trim("name").alias("_n"))
+    twice = named.groupBy("area_id", "_n").agg(F.count("*").alias("_k")).filter("_k > 1")
+    repeated = named.join(twice, ["area_id", "_n"]).select("boundary_id", F.lit("duplicate_name").alias("violation"))
+    return outside.unionByName(repeated)

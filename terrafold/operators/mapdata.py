@@ -101,3 +101,67 @@ def simplify(lines: DataFrame, tolerance: float, line: str = "line") -> DataFram
 
     mask = F.pandas_udf(thin, "array<boolean>")(F.flatten(F.transform(line, lambda p: F.array(p["x"], p["y"]))))
     return lines.withColumn("_k", mask).withColumn(line, F.filter(line, lambda p, i: F.element_at("_k", i + 1))).drop("_k")
+
+
+def clip_lines_to_boundary(lines: DataFrame, boundaries: DataFrame, key: str) -> DataFrame:
+    """Lines cut at traced boundaries: ``boundary_id, <key>, edge, t0, piece`` with one straight piece per row, in walk order by (edge, t0). Each edge
+    is cut where it meets the ring; a piece stays when its middle lies inside."""
+    b = boundaries.select("boundary_id", "area_id", "ring")
+    hit = spatial.lines_meeting_rings(lines.select("area_id", key, "line"), b, on="area_id")
+    e = hit.select("boundary_id", key, "ring", F.posexplode(geo.steps("line")).alias("edge", "s"))
+    x = lambda end, ax: F.col(f"s.{end}.{ax}")
+    dx, dy = x("b", "x") - x("a", "x"), x("b", "y") - x("a", "y")
+
+    def meet(t):
+        rx, ry = t["b"]["x"] - t["a"]["x"], t["b"]["y"] - t["a"]["y"]
+        det = dx * ry - dy * rx
+        ox, oy = t["a"]["x"] - x("a", "x"), t["a"]["y"] - x("a", "y")
+        u, w = F.try_divide(ox * ry - oy * rx, det), F.try_divide(ox * dy - oy * dx, det)
+        return F.when(u.between(0, 1) & w.between(0, 1), u)
+
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.array_compact(F.transform(geo.steps("ring"), meet)))))
+    e = e.withColumn("_t", cuts)
+    n = F.size("_t") - 1
+    spans = F.zip_with(F.slice("_t", F.lit(1), n), F.slice("_t", F.lit(2), n), lambda p, q: F.struct(p.alias("t0"), q.alias("t1")))
+    e = e.select("boundary_id", key, "ring", "edge", "s", F.explode(spans).alias("u"))
+    at = lambda t: geo.point(x("a", "x") + dx * t, x("a", "y") + dy * t)
+    mid = (F.col("u.t0") + F.col("u.t1")) / 2
+    inside = geo.point_in_ring(x("a", "x") + dx * mid, x("a", "y") + dy * mid, "ring")
+    return e.filter(inside).select("boundary_id", key, "edge", F.col("u.t0").alias("t0"), F.array(at(F.col("u.t0")), at(F.col("u.t1"))).alias("piece"))
+
+
+def boundary_in_box(boundaries: DataFrame, areas: DataFrame, cell: float = 0.005) -> DataFrame:
+    """A traced ring cut to its area's box and reduced to one outline: the largest part, how many parts were left out, and whether holes were
+    filled. Vertices are clamped into the box, so rounding never leaves one outside."""
+    j = boundaries.join(areas.select("area_id", *BOX), "area_id")
+    box = geo.bbox_ring(*(F.col(c) for c in BOX))
+    both = j.select(F.col("boundary_id").alias("key"), F.explode(F.array(F.struct(F.lit("a").alias("side"), geo.close_ring("ring").alias("ring")), F.struct(F.lit("b").alias("side"), box.alias("ring")))).alias("s"))
+    out = planar.outline_of(planar.overlay(both.select("key", "s.*"), "intersection", cell)).withColumnRenamed("key", "boundary_id")
+    k = out.withColumnRenamed("ring", "_o").join(j.select("boundary_id", "area_id", *BOX), "boundary_id")
+    clamp = lambda v, lo, hi: F.least(F.greatest(v, F.col(lo)), F.col(hi))
+    ring = F.transform("_o", lambda p: geo.point(clamp(p["x"], "min_lon", "max_lon"), clamp(p["y"], "min_lat", "max_lat")))
+    return k.select("boundary_id", "area_id", ring.alias("ring"), "dropped_parts", "filled_holes")
+
+
+def resample_clipped(parts: DataFrame, cells: DataFrame, smoothed: DataFrame, key: str = "segment_id") -> DataFrame:
+    """Exact and smoothed heights of clipped line parts (``part, line``), whose vertices no longer match the stored heights."""
+    from terrafold.operators import raster
+
+    whole = parts.withColumn("_id", F.concat_ws("\u0001", key, F.col("part").cast("string")))
+    h = raster.line_heights(whole.select("area_id", "_id", "line"), cells, smoothed, key="_id")
+    ids = F.split("_id", "\u0001")
+    return h.select("area_id", ids[0].alias(key), ids[1].cast("int").alias("part"), "exact", "smoothed")
+
+
+def nearby(kind: str, layers: dict[str, DataFrame], centers: DataFrame, radius_m: float) -> DataFrame:
+    """Features of one kind near centers: footprints and area features by their outline, the others by their point."""
+    df = layers[kind]
+    return spatial.rings_within_radius(centers, df, radius_m) if "ring" in df.columns else spatial.within_radius(centers, df, radius_m)
+
+
+def within_bbox(kind: str, layers: dict[str, DataFrame], boxes: DataFrame, contained: bool) -> DataFrame:
+    """Features of one kind that meet boxes or, with ``contained``, lie inside them."""
+    df = layers[kind]
+    if "ring" in df.columns:
+        return spatial.rings_in_boxes(df, boxes) if contained else spatial.rings_meeting_boxes(df, boxes)
+    return spatial.points_in_boxes(df, boxes, strict=contained)

@@ -141,12 +141,19 @@ def turn_aware_routes(v: Views):
     return answers.select("od_id", "status", F.round("total_m", 3).alias("total_m"))
 
 
-@query("route_lines", None, [])
+@query(
+    "route_lines",
+    f"""WITH {ROUTES} SELECT od.od_id, {o.rn('min(d)', 2)} AS total_m, {o.rn('min(d)', 2)} AS line_m, 1 AS extra_nodes FROM od JOIN (SELECT q.od_id, d, to_node FROM dist q JOIN seg s ON s.segment_id = q.edge) a
+        ON a.od_id = od.od_id AND a.to_node = od.destination WHERE origin <> destination GROUP BY od.od_id""",
+    [*NET_VIEWS, "town"],
+)
 def route_lines(v: Views):
     i = Imported(v)
     answers, tree = graph.shortest_paths(i.segments, i.turns.filter("allowed"), od_pairs(v))
     lines = graph.route_lines(graph.reconstruct(answers, tree), i.segments)
-    return lines.select("od_id", F.size("segments").alias("n_segments"), F.size("nodes").alias("n_nodes"), F.size("line").alias("n_points"), F.round("total_m", 3).alias("total_m"), F.round(geo.length_m("line"), 3).alias("line_m"))
+    return lines.select(
+        "od_id", F.round("total_m", 2).alias("total_m"), F.round(geo.length_m("line"), 2).alias("line_m"), (F.size("nodes") - F.size("segments")).alias("extra_nodes"),
+    )
 
 
 @query(

@@ -176,3 +176,57 @@ def simplified_lines(v: Views):
     return mapdata.simplify(lines, 1.5).select("node_id", F.size("line").alias("kept"))
 
 
+
+
+@query(
+    "boundary_violations",
+    "SELECT boundary_id, 'outside_area' AS violation FROM boundary_v WHERE name = 'out' UNION ALL SELECT boundary_id, 'duplicate_name' FROM boundary_v WHERE name IN ('ell', 'few', 'tie')",
+    ["boundary"],
+)
+def boundary_violations(v: Views):
+    from terrafold.functions import rules
+
+    b = v.boundary.withColumn("name", F.when(F.col("name").isin("few", "tie"), F.lit(" ell ")).otherwise(F.col("name")))
+    return rules.check_boundaries(b, v.area)
+
+
+@query(
+    "boundaries_in_boxes",
+    "SELECT boundary_id, round(0.5 * 47 * 9 - 0.5 * 23 * (12 - 9 * 15 / 38.0::DOUBLE - 3), 4) AS area, 0 AS dropped_parts, FALSE AS filled_holes FROM boundary_v WHERE name = 'out'",
+    ["boundary"],
+)
+def boundaries_in_boxes(v: Views):
+    b = mapdata.boundary_in_box(v.boundary.filter("name = 'out'"), v.area)
+    return b.select("boundary_id", F.round(F.abs(geo.signed_area("ring")) * 1e6, 4).alias("area"), F.col("dropped_parts").cast("int").alias("dropped_parts"), "filled_holes")
+
+
+@query(
+    "lines_cut_by_boundaries",
+    f"""SELECT boundary_id, source_id, {o.rn('len * 100000', 3)} AS length FROM (SELECT boundary_id, source_id, CASE WHEN lat > ring[1].y AND lat < ring[3].y THEN greatest(0, least(e, ring[2].x) - greatest(w, ring[1].x))
+          WHEN lat >= ring[3].y AND lat < ring[6].y THEN greatest(0, least(e, ring[4].x) - greatest(w, ring[1].x)) ELSE 0 END AS len
+        FROM (SELECT *, lon - CAST(0.003 AS DOUBLE) AS w, lon + CAST(0.003 AS DOUBLE) AS e FROM (SELECT * FROM {ELL}) b JOIN poi_v p USING (area_id)) q) t WHERE len > 0""",
+    ["boundary", "poi"],
+)
+def lines_cut_by_boundaries(v: Views):
+    line = F.array(geo.point(F.col("lon") - 0.003, "lat"), geo.point(F.col("lon") + 0.003, "lat"))
+    c = mapdata.clip_lines_to_boundary(v.poi.select("area_id", "source_id", line.alias("line")), v.boundary.filter("name = 'ell'"), "source_id")
+    return c.groupBy("boundary_id", "source_id").agg(F.round(F.sum(geo.planar_length("piece")) * 100000, 3).alias("length"))
+
+
+@query(
+    "clipped_heights",
+    """SELECT segment_id, 0 AS part, 2 AS n FROM (SELECT concat(area_id, '_', row, '_', col) AS segment_id FROM cell_v WHERE (row * 50 + col) % 11 = 2 AND row < 45 AND col < 48) t""",
+    ["cell"],
+)
+def clipped_heights(v: Views):
+    from terrafold.operators import raster
+
+    c = v.cell.filter("(row * 50 + col) % 11 = 2 AND row < 45 AND col < 48")
+    x, y = F.col("origin_lon") + F.col("col") * F.col("lon_step"), F.col("origin_lat") + F.col("row") * F.col("lat_step")
+    # Streets that run far beyond the north edge are cut at the grid's box.
+    lines = c.select("area_id", F.concat_ws("_", "area_id", "row", "col").alias("segment_id"), F.array(geo.point(x, y), geo.point(x, y + 0.02)).alias("line"))
+    h = raster.headers_of(v.cell)
+    boxes = h.select("area_id", F.col("origin_lat").alias("min_lat"), F.col("origin_lon").alias("min_lon"), (F.col("origin_lat") + 49 * F.col("lat_step")).alias("max_lat"), (F.col("origin_lon") + 49 * F.col("lon_step")).alias("max_lon"))
+    parts = mapdata.clip_lines_to_box(lines, boxes, "segment_id")
+    clean = raster.despike(v.cell)
+    return mapdata.resample_clipped(parts, clean, raster.smooth(clean)).select("segment_id", "part", F.size("exact").alias("n"))
