@@ -1 +1 @@
-"""Geospatial reconstruction and analytics over Spark DataFrames."""
+"""Geospatial analytics over Spark DataFrames."""

@@ -165,3 +165,31 @@ def within_bbox(kind: str, layers: dict[str, DataFrame], boxes: DataFrame, conta
     if "ring" in df.columns:
         return spatial.rings_in_boxes(df, boxes) if contained else spatial.rings_meeting_boxes(df, boxes)
     return spatial.points_in_boxes(df, boxes, strict=contained)
+
+
+def map_data(features: dict[str, DataFrame], network_layers: dict[str, DataFrame], areas: DataFrame, boundaries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every layer of every completed area at once, whole entities only.
+
+    ``features`` (``area_id, source_id`` and ``lat, lon`` or ``ring``) are composed over the inner areas: each source id once, the area's own copy first, as
+    ``outer_id``. ``network_layers`` (``segments`` with ``line``, ``nodes``) stay the area's own. With ``boundaries`` (``boundary_id, area_id, ring``) each layer is
+    narrowed to what meets a boundary; ends of kept segments stay, so the result is routable."""
+    from terrafold.operators import compose, network
+
+    owners = compose.owners(areas)
+    out = {n: compose.compose_by_source_id(df, owners) for n, df in features.items()} | dict(network_layers)
+    if boundaries is None:
+        return out
+    b = boundaries.select("boundary_id", F.col("area_id").alias("outer_id"), "ring")
+    for n in features:
+        df = out[n]
+        if "ring" in df.columns:
+            out[n] = spatial.rings_meeting_rings(df.withColumnRenamed("ring", "shape"), b, on="outer_id").drop("ring").withColumnRenamed("shape", "ring")
+        else:
+            out[n] = spatial.points_in_rings(df, b, on="outer_id").drop("ring")
+    own = b.withColumnRenamed("outer_id", "area_id")
+    segments = spatial.lines_meeting_rings(network_layers["segments"], own, on="area_id").drop("ring")
+    nodes = spatial.points_in_rings(network_layers["nodes"], own, on="area_id")
+    out["segments"] = segments
+    ids = network.with_endpoints(nodes, segments)
+    out["nodes"] = network_layers["nodes"].join(ids, ["area_id", "node_id"], "left_semi")
+    return out

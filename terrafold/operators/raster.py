@@ -237,3 +237,9 @@ def cell_slope(cells: DataFrame) -> DataFrame:
     gx = ((F.col("height_se") - F.col("height_sw")) + (F.col("height_ne") - F.col("height_nw"))) / 2 / w
     gy = ((F.col("height_nw") - F.col("height_sw")) + (F.col("height_ne") - F.col("height_se"))) / 2 / h
     return quads(cells).select("area_id", "row", "col", *HEADER, F.hypot(gx, gy).alias("slope"))
+
+
+def whole_grids(cells: DataFrame) -> DataFrame:
+    """Cells of grids that hold every sample their header states; a grid with missing samples breaks the size rule."""
+    n = cells.groupBy("area_id").agg(F.count("*").alias("_n"), F.max(F.col("rows") * F.col("cols")).alias("_want")).filter("_n = _want")
+    return cells.join(n.select("area_id"), "area_id", "left_semi")

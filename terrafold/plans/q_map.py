@@ -215,18 +215,37 @@ def lines_cut_by_boundaries(v: Views):
 
 @query(
     "clipped_heights",
-    """SELECT segment_id, 0 AS part, 2 AS n FROM (SELECT concat(area_id, '_', row, '_', col) AS segment_id FROM cell_v WHERE (row * 50 + col) % 11 = 2 AND row < 45 AND col < 48) t""",
+    """SELECT segment_id, 0 AS part, 2 AS n FROM (SELECT concat(area_id, '_', row, '_', col) AS segment_id FROM cell_v WHERE (row * 50 + col) % 11 = 2 AND row < 45 AND col < 48
+       AND area_id IN (SELECT area_id FROM cell_v GROUP BY area_id HAVING count(*) = 2500)) t""",
     ["cell"],
 )
 def clipped_heights(v: Views):
     from terrafold.operators import raster
 
-    c = v.cell.filter("(row * 50 + col) % 11 = 2 AND row < 45 AND col < 48")
+    cells = raster.whole_grids(v.cell)
+    c = cells.filter("(row * 50 + col) % 11 = 2 AND row < 45 AND col < 48")
     x, y = F.col("origin_lon") + F.col("col") * F.col("lon_step"), F.col("origin_lat") + F.col("row") * F.col("lat_step")
     # Streets that run far beyond the north edge are cut at the grid's box.
     lines = c.select("area_id", F.concat_ws("_", "area_id", "row", "col").alias("segment_id"), F.array(geo.point(x, y), geo.point(x, y + 0.02)).alias("line"))
-    h = raster.headers_of(v.cell)
+    h = raster.headers_of(cells)
     boxes = h.select("area_id", F.col("origin_lat").alias("min_lat"), F.col("origin_lon").alias("min_lon"), (F.col("origin_lat") + 49 * F.col("lat_step")).alias("max_lat"), (F.col("origin_lon") + 49 * F.col("lon_step")).alias("max_lon"))
     parts = mapdata.clip_lines_to_box(lines, boxes, "segment_id")
-    clean = raster.despike(v.cell)
+    clean = raster.despike(cells)
     return mapdata.resample_clipped(parts, clean, raster.smooth(clean)).select("segment_id", "part", F.size("exact").alias("n"))
+
+
+@query(
+    "map_data_layers",
+    f"""WITH {OWNERS}, {OWNED}, comp AS (SELECT outer_id, source_id, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY outer_id, source_id ORDER BY rank) AS rn FROM owned JOIN own ON owner_id = area_id) t WHERE rn = 1),
+        ell AS (SELECT area_id, ring FROM {ELL}), inp AS (SELECT p.* FROM poi_v p JOIN ell USING (area_id) WHERE {o.in_ring('p.lon', 'p.lat', 'ring')})
+        SELECT 'pois' AS layer, c.outer_id AS area_id, count(*) AS n FROM comp c JOIN ell ON ell.area_id = c.outer_id WHERE {o.in_ring('c.lon', 'c.lat', 'ring')} GROUP BY c.outer_id
+        UNION ALL SELECT 'nodes', area_id, count(*) FROM inp GROUP BY area_id""",
+    ["area", "poi", "boundary"],
+)
+def map_data_layers(v: Views):
+    nodes = v.poi.select("area_id", F.col("source_id").alias("node_id"), "lat", "lon")
+    # No street meets a boundary here, so the nodes are those inside.
+    segments = v.poi.select("area_id", F.col("source_id").alias("from_node"), F.col("source_id").alias("to_node"), F.array(geo.point(F.col("lon") + 5, "lat"), geo.point(F.col("lon") + 5.001, "lat")).alias("line"))
+    m = mapdata.map_data({"pois": owned_pois(v)}, {"segments": segments, "nodes": nodes}, v.area, v.boundary.filter("name = 'ell'"))
+    n = lambda df, layer, key: df.groupBy(F.lit(layer).alias("layer"), F.col(key).alias("area_id")).agg(F.count("*").alias("n"))
+    return n(m["pois"], "pois", "outer_id").unionByName(n(m["nodes"], "nodes", "area_id"))
