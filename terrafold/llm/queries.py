@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import minhash
+from terrafold.llm import minhash, pii, quality, substrings
 from terrafold.llm.sql import SQL
 from terrafold.llm.text import documents
 
@@ -13,6 +13,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle_words=4, share=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash,)}
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(documents(spark, sf_dir), k=20).drop("kept")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op4_pii, op7_quality)}
 
 __all__ = ["QUERIES", "SQL"]
