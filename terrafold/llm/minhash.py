@@ -5,11 +5,10 @@ borrows from the first non-empty bin of its own fixed random probe sequence (opt
 have a full signature and equal bins still mean what they should. Bands of bins are the buckets. Inside a bucket every member is
 compared with one centre only (a star), on full shingle sets.
 
-A star alone could miss a link between two members that don't both resemble the centre. Where some member fails the comparison,
-the bucket therefore goes on: failed members become centres in turn, one in the first round, twice as many in each later one, and
-are compared with the members of other groups. Jaccard distance is a metric, so pairs whose distances to the first centre differ
-by more than the limit are left out without a loss. Documents with equal sets are one class before any of this: copies cost one
-row each in two aggregations, never pairs."""
+A star alone could miss a link between two members that don't both resemble the centre. Members of one centre that are not
+connected after the stars are therefore bounded exactly (``unlinked``) by what each has in common with the centre, and the few
+pairs left are compared too. Documents with equal sets are one class before any of this: copies cost one row each in two
+aggregations, never pairs."""
 
 from __future__ import annotations
 
@@ -18,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm import text as tx
@@ -100,62 +99,57 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pair.select("doc", "centre", "n", "cn", F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
 
 
-def _distance(both: str = "both") -> F.Column:
-    return F.expr(f"1 - {both} / double(n + cn - {both})")
-
-
 def links(reps: DataFrame, docs: DataFrame, k: int, share: int) -> DataFrame:
     """``a, b``: confirmed links that connect every two classes which share a bucket and have ``100 * both >= share * union``.
 
     ``reps``: ``doc_id, n_shingles, keys`` of one document per class."""
-    limit = 1 - share / 100
-    near = F.expr(f"100 * both >= {share} * (n + cn - both)")
     buckets = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).filter("centre < last").drop("last")
-    members = buckets.join(shared, "bucket")
-    sizes = reps.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("cn"))
-    members = settle(members)
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
+    stars = settle(buckets.join(shared, "bucket").filter("doc <> centre").select("doc", "centre", "n").distinct())
+    wanted = stars.select(F.col("doc").alias("doc_id")).unionByName(stars.select(F.col("centre").alias("doc_id"))).distinct()
     sets = settle(sets_of(tx.two(docs).join(wanted, "doc_id", "left_semi"), k).distinct())
-    # A pair of sizes too far apart can't be near; its distance is at least what the sizes say.
-    stars = members.filter("doc <> centre").select("doc", "centre", "n").distinct().join(sizes, "centre")
-    possible = F.expr(f"100 * least(n, cn) >= {share} * greatest(n, cn)")
-    done = settle(measured(stars.filter(possible), sets).withColumn("near", near).withColumn("d", _distance()))
-    found = done.filter("near").select(F.col("doc").alias("a"), F.col("centre").alias("b"))
-
-    known = members.filter("doc <> centre").join(sizes, "centre").join(done.select("doc", "centre", "near", "d"), ["doc", "centre"], "left")
-    known = known.select(
-        "bucket", "doc", "n", F.coalesce("near", F.lit(False)).alias("near"), F.expr("coalesce(d, 1 - least(n, cn) / double(greatest(n, cn)))").alias("d"), F.isnotnull("d").alias("exact"), "centre",
-    )
-    failed = known.filter("NOT near").groupBy("bucket").agg(F.min("d").alias("least_failed"), F.count(F.lit(1)).alias("n_failed"))
-    left = known.join(failed, "bucket").filter(f"NOT near OR d >= least_failed - {limit} - 1e-9")
-    # open: still to be a centre. group: members known to be connected in this bucket need no comparison.
-    left = left.select("bucket", "doc", "n", "d", "exact", (~F.col("near")).alias("open"), F.when(F.col("near"), F.col("centre")).otherwise(F.col("doc")).alias("group"))
-    rounds, centres = [found], 1
-    left = settle(_alive(left))
-    while not left.isEmpty():
-        turn = left.filter("open").withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy("doc"))).filter(F.col("turn") <= centres)
-        turn = turn.select("bucket", F.col("doc").alias("centre"), F.col("n").alias("cn"), F.col("d").alias("cd"), F.col("exact").alias("cexact"), F.col("group").alias("cgroup"))
-        pairs = left.join(turn, "bucket").filter("doc <> centre AND group <> cgroup").filter(f"NOT (exact AND cexact) OR abs(d - cd) <= {limit} + 1e-9").filter(possible)
-        once = pairs.select(F.least("doc", "centre").alias("doc"), F.greatest("doc", "centre").alias("centre"), F.expr("if(doc < centre, n, cn)").alias("n"), F.expr("if(doc < centre, cn, n)").alias("cn")).distinct()
-        new = settle(measured(once, sets).filter(near).select(F.col("doc").alias("a"), F.col("centre").alias("b")))
-        rounds.append(new)
-        both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        joined = left.join(turn.select("bucket", "centre", "cgroup"), "bucket").join(both, F.expr("doc = a AND centre = b")).groupBy("bucket", "doc").agg(F.min("cgroup").alias("joined"))
-        was = turn.select("bucket", F.col("centre").alias("doc"), F.lit(True).alias("was"))
-        left = left.join(joined, ["bucket", "doc"], "left").join(was, ["bucket", "doc"], "left").filter("was IS NULL")
-        left = settle(_alive(left.select("bucket", "doc", "n", "d", "exact", "open", F.coalesce("joined", "group").alias("group"))))
-        centres *= 2
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _alive(left: DataFrame) -> DataFrame:
-    """Buckets that still have a centre to come and two groups."""
-    alive = left.groupBy("bucket").agg(F.max("open").alias("any"), F.min("group").alias("low"), F.max("group").alias("high")).filter("any AND low < high")
-    return left.join(alive.select("bucket"), "bucket", "left_semi")
+    sizes = reps.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("cn"))
+    done = settle(measured(stars.join(sizes, "centre"), sets))
+    found = _near(done, share)
+    return found.unionByName(_near(measured(unlinked(done, found, sets, share), sets), share))
+
+
+def _near(pairs: DataFrame, share: int) -> DataFrame:
+    return pairs.filter(f"100 * both >= {share} * (n + cn - both)").select(F.col("doc").alias("a"), F.col("centre").alias("b"))
+
+
+def unlinked(done: DataFrame, found: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """``doc, centre, n, cn``: pairs of members of one centre, not connected yet, that could be near.
+
+    What both members have in common lies inside the centre's set, where it is at most the smaller of their measured
+    intersections, or outside. Near pairs need ``share / (100 + share)`` of the sum of their sizes. So a pair is possible if the
+    inside alone may suffice, or if the two share enough elements outside; the latter are found by the elements themselves. Of a
+    member's outside elements the first ``(100 - share) %`` of its size are enough to look up (a prefix in the order of the hash:
+    a member can miss no more than that many in a near pair)."""
+    ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
+    comps = connected_components(ends, found).select(F.col("id").alias("doc"), "component")
+    labelled = done.join(comps, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+    apart = labelled.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("centre")
+    labelled = settle(labelled.join(apart, "centre", "left_semi"))
+    side = lambda df, mark: df.select("centre", *(F.col(c).alias(f"{mark}_{c}") for c in df.columns if c != "centre"))
+    sized = f"x_label <> y_label AND 100 * least(x_n, y_n) >= {share} * greatest(x_n, y_n)"
+    need = f"({share} * (x_n + y_n) - {100 + share} * least(x_both, y_both))"
+
+    inner = labelled.filter(f"100 * both >= {share} * n")
+    inside = side(inner, "x").join(side(inner, "y"), "centre").filter(f"x_doc < y_doc AND {sized} AND {need} <= 0")
+
+    outer = labelled.join(sets.select(F.col("id").alias("doc"), F.col("hashes").alias("x")), "doc").join(sets.select(F.col("id").alias("centre"), F.col("hashes").alias("y")), "centre")
+    prefix = F.expr(f"int(n - ceil({share} * n / 100D)) + 1")
+    outer = outer.withColumn("own", F.array_sort(F.array_except("x", "y"))).withColumn("whole", F.size("own") <= prefix)
+    outer = settle(outer.select("centre", "doc", "n", "both", "label", "whole", F.explode(F.slice("own", F.lit(1), prefix)).alias("element")))
+    twice = outer.groupBy("centre", "element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("centre", "element")
+    outer = outer.join(twice, ["centre", "element"], "left_semi")
+    same = (F.col("x_element") == F.col("y_element")) & F.expr(f"x_doc < y_doc AND {sized} AND {need} <= {100 + share} * least(x_n - x_both, y_n - y_both)")
+    outside = side(outer, "x").join(side(outer, "y").withColumnRenamed("centre", "y_centre"), (F.col("centre") == F.col("y_centre")) & same)
+    outside = outside.groupBy("centre", "x_doc", "y_doc", "x_n", "y_n", "x_both", "y_both", "x_whole", "y_whole").agg(F.count(F.lit(1)).alias("seen"))
+    outside = outside.filter(f"NOT (x_whole AND y_whole) OR {need} <= {100 + share} * seen")
+    pairs = [df.select(F.col("x_doc").alias("doc"), F.col("y_doc").alias("centre"), F.col("x_n").alias("n"), F.col("y_n").alias("cn")) for df in (inside, outside)]
+    return settle(pairs[0].unionByName(pairs[1]).distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import minhash, pii, quality, substrings
+from terrafold.llm import minhash, packing, pii, quality, substrings
 from terrafold.llm.sql import SQL
 from terrafold.llm.text import documents
 
@@ -25,6 +26,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op4_pii, op7_quality)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op4_pii, op7_quality, op8_packing)}
 
 __all__ = ["QUERIES", "SQL"]
