@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrafold.llm import minhash, packing, pii, quality, substrings
+from terrafold.llm import bpe, minhash, packing, pii, quality, substrings
 from terrafold.llm.sql import SQL
 from terrafold.llm.text import documents
 
@@ -30,6 +31,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op4_pii, op7_quality, op8_packing)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    back = bpe.decoded(bpe.encoded(documents(spark, sf_dir), ranks, pattern), ranks, pattern)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op4_pii, op7_quality, op8_packing, op9_bpe)}
 
 __all__ = ["QUERIES", "SQL"]
