@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import bpe, minhash, packing, pii, quality, substrings
+from terrafold.llm import bpe, licenses, minhash, packing, pii, quality, substrings, toxicity
 from terrafold.llm.sql import SQL
 from terrafold.llm.text import documents
 
@@ -23,6 +23,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = "crc32(cast(doc_id AS string)) % 5 = 0"
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(f"NOT {fold}"))
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", F.expr(fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
@@ -37,6 +49,6 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op4_pii, op7_quality, op8_packing, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op4_pii, op5_toxicity, op6_licenses, op7_quality, op8_packing, op9_bpe)}
 
 __all__ = ["QUERIES", "SQL"]

@@ -160,12 +160,13 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def repeated_windows(docs: DataFrame, k: int, crowd: int) -> DataFrame:
     """``doc_id, start, n``: runs of ``n`` windows that start earlier elsewhere. ``docs``: ``doc_id`` (not null), ``text``."""
     found = _occurrences(docs, k)
-    often = found.groupBy("minimiser").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("minimiser")
+    # Tables of their own, so that in the joins Spark can split a frequent minimiser.
+    often = settle(found.groupBy("minimiser").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("minimiser"))
     found = settle(found.join(often, "minimiser", "left_semi"))
     kinds = found.groupBy("minimiser", "digest", "n").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     kinds = settle(kinds.select("minimiser", "digest", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")))
     copies = found.join(kinds, ["minimiser", "digest", "n"]).filter("doc_id <> first_doc OR start <> first_start").select("doc_id", "start", F.col("n").cast("int").alias("n"))
-    several = kinds.groupBy("minimiser").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("minimiser", (F.col("c") > crowd).alias("crowded"))
+    several = settle(kinds.groupBy("minimiser").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("minimiser", (F.col("c") > crowd).alias("crowded")))
     wanted = kinds.join(several, "minimiser").select(F.col("first_doc").alias("doc_id"), F.col("first_start").alias("start"), "n", "minimiser", "crowded")
     later = _later_windows(_packed(docs, wanted, k), k)
     return copies.unionByName(later.select("doc_id", "start", F.lit(1).alias("n")))
