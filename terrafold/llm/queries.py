@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import bpe, licenses, minhash, packing, pii, quality, substrings, toxicity
+from terrafold.llm import bpe, licenses, minhash, neighbours, packing, pii, quality, substrings, toxicity
 from terrafold.llm.sql import SQL
 from terrafold.llm.text import documents
 
@@ -49,6 +49,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op4_pii, op5_toxicity, op6_licenses, op7_quality, op8_packing, op9_bpe)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op4_pii, op5_toxicity, op6_licenses, op7_quality, op8_packing, op9_bpe, op10_neighbours)}
 
 __all__ = ["QUERIES", "SQL"]

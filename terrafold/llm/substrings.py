@@ -96,14 +96,17 @@ def _packed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _zipped(docs: DataFrame) -> DataFrame:
-    """Texts compressed for a shuffle."""
+    """Texts compressed for a shuffle; a column ``carried``, if there, goes along."""
+    with_it = ["carried"] * ("carried" in docs.columns)
+    more = f", carried {docs.schema['carried'].dataType.simpleString()}" if with_it else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for batch, rows in tx.runs(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([z.compress(t) for t in rows], pa.binary())], names=["doc_id", "z"])
+            columns = [batch.column("doc_id"), pa.array([z.compress(t) for t in rows], pa.binary()), *(batch.column(c) for c in with_it)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "z", *with_it])
 
-    return docs.mapInArrow(run, "doc_id long, z binary")
+    return docs.mapInArrow(run, f"doc_id long, z binary{more}")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -172,17 +175,21 @@ def repeated_windows(docs: DataFrame, k: int, crowd: int) -> DataFrame:
     return copies.unionByName(later.select("doc_id", "start", F.lit(1).alias("n")))
 
 
-def without_repeats(docs: DataFrame, k: int = 20, crowd: int = 2000) -> DataFrame:
-    """Per row of ``docs`` (``doc_id``, ``text``; other columns are not read): ``doc_id, n_words, n_removed, kept_sha256`` and ``kept``,
-    the words left, joined by one blank (the text's own words, UTF-8).
+def without_repeats(docs: DataFrame, k: int = 20, crowd: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (``doc_id``, ``text``): ``doc_id, n_words, n_removed, kept_sha256`` (of the words left, joined by one blank, in
+    UTF-8) and ``kept``: those words if some went, else the text as it is. With ``carry`` also ``carried``, a struct of those
+    columns; others are not read.
 
     A word goes if a window of ``k`` words that covers it has an equal one that starts earlier: in a smaller ``doc_id``, or
     earlier in the same document. Null, empty and short texts have no windows and lose nothing. A null ``doc_id`` counts as the
     largest, and all such rows as one document. Rows that repeat a ``doc_id`` are one document; equal rows lose the same words.
     No rows give no rows."""
     last = 2**63 - 1
-    source = tx.two(docs).select(F.coalesce("doc_id", F.lit(last)).alias("doc_id"), "text")
-    gone = repeated_windows(source, k, crowd).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc_id")
+    source = docs.select(ident, F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    with_it = ["carried"] * bool(carry)
+    more = f", carried {source.schema['carried'].dataType.simpleString()}" if carry else ""
+    gone = repeated_windows(source.select("doc_id", "text"), k, crowd).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in _unpacked(batches):
@@ -199,8 +206,9 @@ def without_repeats(docs: DataFrame, k: int = 20, crowd: int = 2000) -> DataFram
                 n_removed.append(n_words[-1] - len(w))
                 left = b" ".join(w)
                 sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                kept.append((left if n_removed[-1] else t).decode("utf-8", "replace"))
+            columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), *(batch.column(c) for c in with_it)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *with_it])
 
-    out = _zipped(source).join(gone, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = _zipped(source).join(gone, "doc_id", "left").mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept string{more}")
     return out.withColumn("doc_id", F.when(F.col("doc_id") < last, F.col("doc_id")))
