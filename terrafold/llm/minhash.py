@@ -6,8 +6,8 @@ have a full signature and equal bins still mean what they should. Bands of bins
 compared with one centre only (a star), on full shingle sets.
 
 A star alone could miss a link between two members that don't both resemble the centre. Members of one centre that are not
-connected after the stars are therefore bounded exactly (``unlinked``) by what each has in common with the centre, and the few
-pairs left are compared too. Documents with equal sets are one class before any of this: copies cost one row each in two
+connected after the stars are therefore joined exactly by their rarest shingles (``unlinked``), and the few pairs that could be
+near are compared too. Documents with equal sets are one class before any of this: copies cost one row each in two
 aggregations, never pairs."""
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm import text as tx
@@ -119,37 +119,27 @@ def _near(pairs: DataFrame, share: int) -> DataFrame:
 
 
 def unlinked(done: DataFrame, found: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """``doc, centre, n, cn``: pairs of members of one centre, not connected yet, that could be near.
+    """``doc, centre, n, cn``: pairs that could be near among members of centres whose members aren't all connected yet.
 
-    What both members have in common lies inside the centre's set, where it is at most the smaller of their measured
-    intersections, or outside. Near pairs need ``share / (100 + share)`` of the sum of their sizes. So a pair is possible if the
-    inside alone may suffice, or if the two share enough elements outside; the latter are found by the elements themselves. Of a
-    member's outside elements the first ``(100 - share) %`` of its size are enough to look up (a prefix in the order of the hash:
-    a member can miss no more than that many in a near pair)."""
+    Members are ordered by size. With its elements from the rarest on, a near pair shares one among the first
+    ``n - ceil(2 share n / (100 + share)) + 1`` of the smaller and the first ``n - ceil(share n / 100) + 1`` of the larger: it would
+    have too few in common otherwise. So only those elements are looked up, and what a whole group has in common is not among
+    them. Pairs that are connected already are left out."""
     ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     comps = connected_components(ends, found).select(F.col("id").alias("doc"), "component")
-    labelled = done.join(comps, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+    labelled = done.select("doc", "centre", "n").join(comps, "doc", "left").withColumn("label", F.coalesce("component", "doc"))
     apart = labelled.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("centre")
-    labelled = settle(labelled.join(apart, "centre", "left_semi"))
-    side = lambda df, mark: df.select("centre", *(F.col(c).alias(f"{mark}_{c}") for c in df.columns if c != "centre"))
-    sized = f"x_label <> y_label AND 100 * least(x_n, y_n) >= {share} * greatest(x_n, y_n)"
-    need = f"({share} * (x_n + y_n) - {100 + share} * least(x_both, y_both))"
-
-    inner = labelled.filter(f"100 * both >= {share} * n")
-    inside = side(inner, "x").join(side(inner, "y"), "centre").filter(f"x_doc < y_doc AND {sized} AND {need} <= 0")
-
-    outer = labelled.join(sets.select(F.col("id").alias("doc"), F.col("hashes").alias("x")), "doc").join(sets.select(F.col("id").alias("centre"), F.col("hashes").alias("y")), "centre")
-    prefix = F.expr(f"int(n - ceil({share} * n / 100D)) + 1")
-    outer = outer.withColumn("own", F.array_sort(F.array_except("x", "y"))).withColumn("whole", F.size("own") <= prefix)
-    outer = settle(outer.select("centre", "doc", "n", "both", "label", "whole", F.explode(F.slice("own", F.lit(1), prefix)).alias("element")))
-    twice = outer.groupBy("centre", "element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("centre", "element")
-    outer = outer.join(twice, ["centre", "element"], "left_semi")
-    same = (F.col("x_element") == F.col("y_element")) & F.expr(f"x_doc < y_doc AND {sized} AND {need} <= {100 + share} * least(x_n - x_both, y_n - y_both)")
-    outside = side(outer, "x").join(side(outer, "y").withColumnRenamed("centre", "y_centre"), (F.col("centre") == F.col("y_centre")) & same)
-    outside = outside.groupBy("centre", "x_doc", "y_doc", "x_n", "y_n", "x_both", "y_both", "x_whole", "y_whole").agg(F.count(F.lit(1)).alias("seen"))
-    outside = outside.filter(f"NOT (x_whole AND y_whole) OR {need} <= {100 + share} * seen")
-    pairs = [df.select(F.col("x_doc").alias("doc"), F.col("y_doc").alias("centre"), F.col("x_n").alias("n"), F.col("y_n").alias("cn")) for df in (inside, outside)]
-    return settle(pairs[0].unionByName(pairs[1]).distinct())
+    members = settle(labelled.join(apart, "centre", "left_semi").select("doc", "n", "label").distinct())
+    each = members.join(sets.select(F.col("id").alias("doc"), "hashes"), "doc").select("doc", "n", "label", F.explode("hashes").alias("element"))
+    often = settle(each.groupBy("element").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("f > 1").select("element", "f", F.expr("low < high").alias("across")))
+    own = Window.partitionBy("doc")
+    ranked = each.join(often, "element").withColumn("place", F.row_number().over(own.orderBy("f", "element")) + F.col("n") - F.count(F.lit(1)).over(own))
+    looked = settle(
+        ranked.filter(f"across AND place <= n - ceil({share} * n / 100D) + 1").select("doc", "n", "label", "element", F.expr(f"place <= n - ceil({2 * share} * n / {100 + share}D) + 1").alias("first")),
+    )
+    larger = looked.select(F.col("element").alias("same"), F.col("doc").alias("centre"), F.col("n").alias("cn"), F.col("label").alias("c_label"))
+    pairs = looked.filter("first").join(larger, F.expr(f"element = same AND label <> c_label AND (n < cn OR n = cn AND doc < centre) AND 100 * n >= {share} * cn"))
+    return settle(pairs.select("doc", "centre", "n", "cn").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
