@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import bpe, licenses, minhash, neighbours, packing, pii, quality, substrings, toxicity
+from terrafold.llm import bpe, licenses, minhash, mixing, neighbours, packing, pii, quality, substrings, toxicity
 from terrafold.llm.sql import SQL
 from terrafold.llm.text import documents
 
@@ -19,6 +19,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(documents(spark, sf_dir), k=20).drop("kept")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scored(documents(spark, sf_dir), held_out="crc32(cast(doc_id AS string)) % 7 = 2")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
@@ -53,6 +57,6 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op4_pii, op5_toxicity, op6_licenses, op7_quality, op8_packing, op9_bpe, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op3_mixing, op4_pii, op5_toxicity, op6_licenses, op7_quality, op8_packing, op9_bpe, op10_neighbours)}
 
 __all__ = ["QUERIES", "SQL"]

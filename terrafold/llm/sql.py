@@ -17,4 +17,16 @@ c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
-SQL = {"op1_minhash": OP1}
+OP2 = f"""
+WITH w AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+g AS (SELECT doc_id, ws, unnest(CASE WHEN len(ws) < 20 THEN [] ELSE range(1, len(ws) - 18) END) AS start FROM w),
+h AS (SELECT doc_id, start, array_to_string(ws[start:start + 19], ' ') AS words FROM g),
+r AS (SELECT doc_id, start, row_number() OVER (PARTITION BY words ORDER BY doc_id, start) AS turn FROM h),
+gone AS (SELECT DISTINCT doc_id, start + unnest(range(0, 20)) AS place FROM r WHERE turn > 1),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM w),
+k AS (SELECT t.doc_id, count(gone.place) AS n_removed, string_agg(t.word, ' ' ORDER BY t.place) FILTER (gone.place IS NULL) AS kept
+  FROM t LEFT JOIN gone USING (doc_id, place) GROUP BY t.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+SQL = {"op1_minhash": OP1, "op2_substrings": OP2}
