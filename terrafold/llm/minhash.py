@@ -6,8 +6,8 @@ have a full signature and equal bins still mean what they should. Bands of bins
 compared with one centre only (a star), on full shingle sets.
 
 A star alone could miss a link between two members that don't both resemble the centre. Members of one centre that are not
-connected after the stars are therefore joined exactly by their rarest shingles (``unlinked``), and the few pairs that could be
-near are compared too. Documents with equal sets are one class before any of this: copies cost one row each in two
+connected after the stars are therefore bounded exactly by what they have in common with it (``unlinked``), and the few pairs left
+are compared too. Documents with equal sets are one class before any of this: copies cost one row each in two
 aggregations, never pairs."""
 
 from __future__ import annotations
@@ -119,27 +119,37 @@ def _near(pairs: DataFrame, share: int) -> DataFrame:
 
 
 def unlinked(done: DataFrame, found: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """``doc, centre, n, cn``: pairs that could be near among members of centres whose members aren't all connected yet.
+    """``doc, centre, n, cn``: pairs of members of one centre, not connected yet, that could be near.
 
-    Members are ordered by size. With its elements from the rarest on, a near pair shares one among the first
-    ``n - ceil(2 share n / (100 + share)) + 1`` of the smaller and the first ``n - ceil(share n / 100) + 1`` of the larger: it would
-    have too few in common otherwise. So only those elements are looked up, and what a whole group has in common is not among
-    them. Pairs that are connected already are left out."""
+    What both members have in common lies inside the centre's set, where it is at most the smaller of their measured
+    intersections, or outside. A near pair needs ``share / (100 + share)`` of the sum of its sizes. So it is possible only if the
+    inside alone may suffice, or if the two share what is missing outside. The latter pairs are found by outside elements, from
+    the rarest at this centre on: members in order of size, a pair that needs so many of them shares one among the first of
+    both, ``own - need + 1`` each. What the group has in common with its centre is never looked up."""
     ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     comps = connected_components(ends, found).select(F.col("id").alias("doc"), "component")
-    labelled = done.select("doc", "centre", "n").join(comps, "doc", "left").withColumn("label", F.coalesce("component", "doc"))
+    labelled = done.select("doc", "centre", "n", "both").join(comps, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
     apart = labelled.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("centre")
-    members = settle(labelled.join(apart, "centre", "left_semi").select("doc", "n", "label").distinct())
-    each = members.join(sets.select(F.col("id").alias("doc"), "hashes"), "doc").select("doc", "n", "label", F.explode("hashes").alias("element"))
-    often = settle(each.groupBy("element").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("f > 1").select("element", "f", F.expr("low < high").alias("across")))
-    own = Window.partitionBy("doc")
-    ranked = each.join(often, "element").withColumn("place", F.row_number().over(own.orderBy("f", "element")) + F.col("n") - F.count(F.lit(1)).over(own))
-    looked = settle(
-        ranked.filter(f"across AND place <= n - ceil({share} * n / 100D) + 1").select("doc", "n", "label", "element", F.expr(f"place <= n - ceil({2 * share} * n / {100 + share}D) + 1").alias("first")),
-    )
-    larger = looked.select(F.col("element").alias("same"), F.col("doc").alias("centre"), F.col("n").alias("cn"), F.col("label").alias("c_label"))
-    pairs = looked.filter("first").join(larger, F.expr(f"element = same AND label <> c_label AND (n < cn OR n = cn AND doc < centre) AND 100 * n >= {share} * cn"))
-    return settle(pairs.select("doc", "centre", "n", "cn").distinct())
+    labelled = settle(labelled.join(apart, "centre", "left_semi"))
+    side = lambda df, mark: df.select(*(F.col(c).alias(f"{mark}_{c}") for c in df.columns))
+    ordered = f"x_label <> y_label AND (x_n < y_n OR x_n = y_n AND x_doc < y_doc) AND 100 * x_n >= {share} * y_n"
+    need = f"({share} * (x_n + y_n) - {100 + share} * least(x_both, y_both))"
+
+    inner = labelled.filter(f"100 * both >= {share} * n")
+    inside = side(inner, "x").join(side(inner, "y"), F.expr(f"x_centre = y_centre AND {ordered} AND {need} <= 0"))
+
+    outer = labelled.join(sets.select(F.col("id").alias("doc"), F.col("hashes").alias("x")), "doc").join(sets.select(F.col("id").alias("centre"), F.col("hashes").alias("y")), "centre")
+    outer = settle(outer.select("centre", "doc", "n", "both", "label", F.explode(F.array_except("x", "y")).alias("element")))
+    often = outer.groupBy("centre", "element").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("f > 1").select("centre", "element", "f", F.expr("low < high").alias("across"))
+    own = Window.partitionBy("centre", "doc")
+    # Elements that only this member has come first; they match nothing and are only counted.
+    ranked = outer.join(settle(often), ["centre", "element"]).withColumn("place", F.row_number().over(own.orderBy("f", "element")) + (F.col("n") - F.col("both")) - F.count(F.lit(1)).over(own))
+    first = lambda least: f"place <= n - both - greatest(1, ceil({least}) - both) + 1"
+    looked = ranked.filter("across").filter(first(f"{share} * n / 100D")).withColumn("first", F.expr(first(f"{2 * share} * n / {100 + share}D"))).drop("f", "across", "place")
+    looked = settle(looked)
+    outside = side(looked.filter("first"), "x").join(side(looked, "y"), F.expr(f"x_centre = y_centre AND x_element = y_element AND {ordered} AND {need} <= {100 + share} * least(x_n - x_both, y_n - y_both)"))
+    pairs = [df.select(F.col("x_doc").alias("doc"), F.col("y_doc").alias("centre"), F.col("x_n").alias("n"), F.col("y_n").alias("cn")) for df in (inside, outside)]
+    return settle(pairs[0].unionByName(pairs[1]).distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
