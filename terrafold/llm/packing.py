@@ -11,6 +11,7 @@ salt its first rank."""
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,39 +25,71 @@ from terrafold.llm.pieces import MEMORY, pieces
 from terrafold.session import settle
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, ids``: each text's ids and ``end_id``, cut into pieces of ``size``, the first of which
-    may be shorter."""
+class Tokens:
+    """Encodes texts as the tokenizer of a ``tokenizers`` file does, piece by piece, remembering pieces.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Plain pieces go to the same vocabulary as ranks (in a byte-level BPE file ids follow the merges), which is several times
+    faster; pieces that may hold a special token go to the tokenizer itself."""
+
+    def __init__(self, tokenizer: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(tokenizer)
-        known: dict[str, bytes] = {}
-        last = np.uint32(end_id).tobytes()
+        self.slow = Tokenizer.from_file(tokenizer)
+        special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
+        letter = _byte_letters()
+        ranks = {bytes(letter[c] for c in t): i for t, i in self.slow.get_vocab(with_added_tokens=False).items() if t not in special}
+        self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if self.special and self.special.search(text):
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        known, out = self.known, []
+        for piece in pieces(text):
+            ids = known.get(piece)
+            if ids is None:
+                ids = np.array(self.fast.encode_ordinary(piece), "<u4").tobytes()
+                if len(piece) <= 64:
+                    if len(known) > MEMORY:
+                        known.clear()
+                    known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
+
+def _byte_letters() -> dict[str, int]:
+    """The byte each letter of a byte-level vocabulary stands for: visible Latin letters for themselves, others from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_ids: bool = True) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` and, if wanted, ``ids``: each text's ids and ``end_id``, cut into pieces of ``size``, the
+    first of which may be shorter."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * with_ids)]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, last = Tokens(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch, rows in tx.runs(batches):
-            if len(known) > MEMORY:
-                known.clear()
-            split = [pieces(t.decode("utf-8", "replace")) for t in rows]
-            new = list({p for ps in split for p in ps if p not in known})
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for p, e in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, np.uint32).tobytes()
             out: list[tuple] = []
-            for doc, ps in zip(batch.column("doc_id").to_pylist(), split, strict=True):
-                ids = b"".join([known[p] for p in ps]) + last
+            for doc, t in zip(batch.column("doc_id").to_pylist(), rows, strict=True):
+                ids = encoder.encode(t.decode("utf-8", "replace")) + last
                 n = len(ids) // 4
                 start, k = 0, 0
                 while start < n:
                     end = start + (((n - start - 1) % size) + 1)
                     part = ids[4 * start : 4 * end]
-                    out.append((doc, k, start, end - start, zlib.crc32(part), part))
+                    out.append((doc, k, start, end - start, zlib.crc32(part), part)[: len(names)])
                     start, k = end, k + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)], names=names)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-    return tx.two(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return tx.two(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -152,14 +185,15 @@ def places(spark: SparkSession, lines: list[tuple[int, tuple[int, ...]]]) -> Dat
     return spark.createDataFrame(rows, "length long, low long, high long, sequence long, first long, same long")
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32, ids`` (little-endian unsigned 32-bit) ``, sequence_id, offset``.
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, with_ids: bool = False) -> DataFrame:
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, if wanted, ``ids`` (little-endian unsigned
+    32-bit integers).
 
     A document is its ids and ``end_id``; only longer ones than ``size`` are cut. Null and empty texts are the end alone; a null
     ``doc_id`` is packed like any other; repeated rows are packed each; other columns are not read. No rows give no rows."""
     spark = docs.sparkSession
-    parts = settle(tokenized(docs, tokenizer, end_id, size))
-    table = parts.select("doc_id", "piece", "start", "length", "ids_crc32")
+    table = settle(tokenized(docs, tokenizer, end_id, size, with_ids))
+    ids = ["ids"] * with_ids
     # At most `size` rows.
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -182,5 +216,5 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048) -
     here = ranked.join(F.broadcast(place.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     step = F.col("rank") - F.col("low")
     return here.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.floor(step / F.col("same"))).cast("long").alias("sequence_id"), (F.col("first") + (step % F.col("same")) * F.col("length")).alias("offset"),
+        "doc_id", "piece", "start", "length", "ids_crc32", *ids, (F.col("sequence") + F.floor(step / F.col("same"))).cast("long").alias("sequence_id"), (F.col("first") + (step % F.col("same")) * F.col("length")).alias("offset"),
     )
