@@ -37,10 +37,17 @@ def point_cell(lat, lon, size_m: float) -> Column:
 def box_cells(min_lat, min_lon, max_lat, max_lon, size_m: float) -> Column:
     """Array of every cell a box touches."""
     bands = F.sequence(band_of(min_lat, size_m), band_of(max_lat, size_m))
+    west, east = geo.col(min_lon), geo.col(max_lon)
+    low, high = F.lit(-180.0), F.lit(180.0)
 
     def of_band(b):
         step = _lon_step(b, size_m)
-        cells = F.sequence(F.floor(geo.col(min_lon) / step), F.floor(geo.col(max_lon) / step))
+        between = lambda a, z: F.sequence(F.floor(a / step), F.floor(z / step))
+        none = F.array().cast("array<bigint>")
+        # What reaches over the antimeridian goes on at the other side.
+        over = F.when(east > high, between(low, F.least(east - 360.0, high))).otherwise(none)
+        under = F.when(west < low, between(F.greatest(west + 360.0, low), high)).otherwise(none)
+        cells = F.when((east > high) | (west < low), F.array_distinct(F.concat(between(F.greatest(west, low), F.least(east, high)), over, under))).otherwise(between(west, east))
         return F.transform(cells, lambda c: F.struct(b.alias("band"), c.alias("cell")))
 
     return F.flatten(F.transform(bands, of_band))
@@ -51,8 +58,9 @@ def disc_box(lat, lon, radius_m) -> dict[str, Column]:
     lat, lon = geo.col(lat), geo.col(lon)
     r = geo.col(radius_m) if not isinstance(radius_m, (int, float)) else F.lit(float(radius_m))
     dlat = r * (1.000001 / geo.METERS_PER_DEGREE)
-    far = F.least(F.abs(lat) + dlat, F.lit(89.9))
-    dlon = dlat / F.cos(F.radians(far))
+    far = F.abs(lat) + dlat
+    # A disc that reaches a pole spans all longitudes.
+    dlon = F.when(far < 89.9, F.least(dlat / F.cos(F.radians(F.least(far, F.lit(89.9)))), F.lit(180.0))).otherwise(180.0)
     return {"min_lat": lat - dlat, "min_lon": lon - dlon, "max_lat": lat + dlat, "max_lon": lon + dlon}
 
 
@@ -77,9 +85,3 @@ def meets_here(a: dict, b: dict, size_m: float) -> Column:
 
 def box_columns(prefix: str = "") -> dict[str, Column]:
     return {k: F.col(f"{prefix}{k}") for k in ("min_lat", "min_lon", "max_lat", "max_lon")}
-
-
-def meters_to_degrees(m: float) -> float:
-    return m / geo.METERS_PER_DEGREE
-
-

@@ -157,9 +157,9 @@ def search_areas(areas: DataFrame, text: str, hay: Column, key: str = "recent")
 def pick_featured(areas: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row: the first configured candidate (``area_id, rank``) that is completed, else the latest completed area."""
     done = rules.completed(areas)
-    configured = done.join(candidates, "area_id").select(done["*"], F.col("rank").alias("_r"))
-    recent = done.withColumn("_r", F.lit(1_000_000))
-    return configured.unionByName(recent).orderBy("_r", F.coalesce("imported_day", "created_day").desc(), "area_id").limit(1).drop("_r")
+    configured = done.join(candidates, "area_id").select(done["*"], F.lit(0).alias("_tier"), F.col("rank").cast("bigint").alias("_r"))
+    recent = done.withColumn("_tier", F.lit(1)).withColumn("_r", F.lit(0).cast("bigint"))
+    return configured.unionByName(recent).orderBy("_tier", "_r", F.coalesce("imported_day", "created_day").desc(), "area_id").limit(1).drop("_tier", "_r")
 
 
 def set_place(areas: DataFrame, answers: DataFrame) -> DataFrame:

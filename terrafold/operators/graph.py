@@ -116,13 +116,13 @@ def member_points(members: DataFrame, ways: DataFrame, nodes: DataFrame) -> Data
     return inline.unionByName(whole).filter(F.size("line") >= 2)
 
 
-def assemble_rings(pieces: DataFrame) -> DataFrame:
+def assemble_rings(pieces: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """Closed outer rings from member pieces (``area_id, relation_id, member_pos, line``) joined end to end.
 
     Follows the published order: start at the first unused piece, extend at its end by the first fitting piece (reversed when it
     fits by its end), close, repeat. All open chains of all relations grow by one piece per round; the chain heads of a relation
     act in member order through a minimum, so the result does not depend on partitioning. Unclosable chains are
-    dropped."""
+    dropped. Raises when pieces are left after ``max_rounds``."""
     key = ["area_id", "relation_id"]
     p = settle(pieces.select(*key, "member_pos", "line", F.element_at("line", 1).alias("s"), F.element_at("line", -1).alias("e")))
     done = None
@@ -130,7 +130,7 @@ def assemble_rings(pieces: DataFrame) -> DataFrame:
     free = p.filter(F.col("s") != F.col("e"))
     chains = free.select(*key, F.col("member_pos").alias("start"), "line").limit(0)
     found = [closed_now]
-    for _ in range(100_000):
+    for _ in range(max_rounds):
         # Relations without an open chain start one at their first free piece.
         busy = chains.select(*key).distinct()
         starts = free.join(busy, key, "left_anti").groupBy(*key).agg(F.min("member_pos").alias("start"))
@@ -150,6 +150,8 @@ def assemble_rings(pieces: DataFrame) -> DataFrame:
         chains = state.filter(~is_closed & F.col("took").isNotNull()).select(*key, "start", "line")
         if chains.isEmpty() and free.isEmpty():
             break
+    else:
+        raise RuntimeError(f"rings were not all assembled in {max_rounds} rounds")
     for f in found:
         done = f if done is None else done.unionByName(f)
     own = F.slice("line", F.lit(1), F.size("line") - 1)
@@ -171,7 +173,7 @@ def shortest_paths(edges: DataFrame, successors: DataFrame, od: DataFrame, cost:
     ``(answers, tree)``: per pair its status, last edge and total, and the best predecessor of every reached state.
 
     Each round relaxes the whole frontier of every pair with two equi joins and one ``min`` aggregate; states that cannot beat the pair's
-    best arrival are left out. It ends when no frontier is left."""
+    best arrival are left out. It ends when no frontier is left and raises if one is left after ``max_rounds``."""
     e = edges.select("area_id", "segment_id", "from_node", "to_node", F.col(cost).alias("c"))
     step = settle(successors.join(e.select("area_id", F.col("segment_id").alias("outgoing"), "to_node", "c"), ["area_id", "outgoing"]))
     start = od.filter("origin <> destination").join(e.withColumnRenamed("from_node", "origin"), ["area_id", "origin"])
@@ -179,11 +181,13 @@ def shortest_paths(edges: DataFrame, successors: DataFrame, od: DataFrame, cost:
         "od_id", "area_id", F.col("segment_id").alias("edge"), "destination", (F.col("to_node") == F.col("destination")).alias("arrived"),
         F.col("c").alias("d"), F.lit(None).cast("string").alias("prev"), F.lit(True).alias("fresh"),
     ))
-    for _ in range(max_rounds):
+    for turn in range(max_rounds + 1):
         bound = state.filter("arrived").groupBy("od_id").agg(F.min("d").alias("bound"))
         open_ = state.filter("fresh AND NOT arrived").join(bound, "od_id", "left").filter("bound IS NULL OR d < bound")
         if open_.isEmpty():
             break
+        if turn == max_rounds:
+            raise RuntimeError(f"routes are not settled after {max_rounds} rounds")
         nxt = open_.select("od_id", "area_id", F.col("edge").alias("incoming"), "destination", "d").join(step, ["area_id", "incoming"])
         cand = nxt.groupBy("od_id", F.col("outgoing").alias("edge")).agg(
             F.min(F.struct((F.col("d") + F.col("c")).alias("d"), F.col("incoming").alias("prev"))).alias("m"),
@@ -207,20 +211,21 @@ def shortest_paths(edges: DataFrame, successors: DataFrame, od: DataFrame, cost:
 
 
 def reconstruct(answers: DataFrame, tree: DataFrame) -> DataFrame:
-    """Every edge of every route with its hop number from the start (1-based): the predecessors are walked back one hop a round."""
-    at = answers.filter("last_edge IS NOT NULL").select("od_id", F.col("last_edge").alias("edge"), F.lit(0).alias("back"))
-    hops, at = [], settle(at.join(tree, ["od_id", "edge"]).select("od_id", "edge", "back", "prev"))
-    while not at.isEmpty():
-        hops.append(at.select("od_id", "edge", "back"))
-        nxt = at.filter("prev IS NOT NULL").select("od_id", F.col("prev").alias("edge"), (F.col("back") + 1).alias("back"))
-        at = settle(nxt.join(tree, ["od_id", "edge"]).select("od_id", "edge", "back", "prev"))
-    if not hops:
-        return answers.select("od_id", F.lit(None).cast("string").alias("edge"), F.lit(None).cast("int").alias("hop")).limit(0)
-    out = hops[0]
-    for h in hops[1:]:
-        out = out.unionByName(h)
-    length = out.groupBy("od_id").agg(F.max("back").alias("_n"))
-    return out.join(length, "od_id").select("od_id", "edge", (F.col("_n") - F.col("back") + 1).alias("hop"))
+    """Every edge of every route with its hop number from the start (1-based).
+
+    By pointer doubling: tables of the 1st, 2nd, 4th ... predecessor, each the join of the one before with itself, until none
+    reaches that far; then from the last edge back, longest jump first, each table doubles what is known of the routes. A route of
+    ``n`` hops takes ``2 log2 n`` joins."""
+    jumps = [settle(tree.filter("prev IS NOT NULL").select("od_id", "edge", F.col("prev").alias("to")))]
+    while not jumps[-1].isEmpty():
+        far = jumps[-1].select("od_id", F.col("edge").alias("to"), F.col("to").alias("further"))
+        jumps.append(settle(jumps[-1].join(far, ["od_id", "to"]).select("od_id", "edge", F.col("further").alias("to"))))
+    known = answers.filter("last_edge IS NOT NULL").select("od_id", F.col("last_edge").alias("edge"), F.lit(0).alias("back"))
+    for k in range(len(jumps) - 2, -1, -1):
+        more = known.join(jumps[k], ["od_id", "edge"]).select("od_id", F.col("to").alias("edge"), (F.col("back") + (1 << k)).alias("back"))
+        known = settle(known.unionByName(more))
+    length = known.groupBy("od_id").agg(F.max("back").alias("_n"))
+    return known.join(length, "od_id").select("od_id", "edge", (F.col("_n") - F.col("back") + 1).alias("hop"))
 
 
 def route_lines(hops: DataFrame, segments: DataFrame) -> DataFrame:

@@ -65,12 +65,19 @@ def skipped_features(classified: DataFrame) -> DataFrame:
 
 
 def resolve_geometry(features: DataFrame, nodes: DataFrame, into: str = "line", key: str = "source_id") -> DataFrame:
-    """Adds the vertex coordinates of ``nodes`` in order as ``into``. A feature's vertices are bounded by the source's
+    """Adds the vertex coordinates of ``nodes`` in order as ``into``. A feature with a node that is not there is left out whole (see
+    ``unresolved``), never shortened. A feature's vertices are bounded by the source's
     own limit on way length, so collecting them per feature is safe however many features there are."""
     flat = features.select("area_id", key, F.posexplode("nodes").alias("_pos", "node_id"))
     hit = flat.join(nodes.select("area_id", "node_id", "lat", "lon"), ["area_id", "node_id"])
     lines = hit.groupBy("area_id", key).agg(F.array_sort(F.collect_list(F.struct("_pos", geo.point("lon", "lat").alias("p")))).alias("_v"))
-    return features.join(lines.select("area_id", key, F.transform("_v", lambda e: e["p"]).alias(into)), ["area_id", key])
+    whole = features.join(lines, ["area_id", key]).filter(F.size("_v") == F.size("nodes"))
+    return whole.select(*features.columns, F.transform("_v", lambda e: e["p"]).alias(into))
+
+
+def unresolved(features: DataFrame, nodes: DataFrame, key: str = "source_id") -> DataFrame:
+    """``area_id, <key>, missing``: features that reference nodes which are not there, and how many."""
+    return missing_refs(features, nodes, key).groupBy("area_id", key).agg(F.count(F.lit(1)).alias("missing"))
 
 
 def missing_refs(features: DataFrame, nodes: DataFrame, key: str = "source_id") -> DataFrame:
@@ -86,11 +93,11 @@ def pois(classified: DataFrame, raw_nodes: DataFrame, nodes: DataFrame) -> DataF
     middle = F.element_at("nodes", (F.floor(F.size("nodes") / 2) + 1).cast("int"))
     # Only the vertices that define the point are joined: all but the closing one, or the middle one.
     used = F.when(F.col("ring_ok"), F.slice("nodes", F.lit(1), F.size("nodes") - 1)).otherwise(F.array(middle))
-    flat = w.select("area_id", F.col("way_id").alias("source_id"), F.explode(used).alias("node_id"), "tags", "nodes")
+    flat = w.select("area_id", F.col("way_id").alias("source_id"), F.explode(used).alias("node_id"), "tags", "nodes", F.size(used).alias("_used"))
     at = flat.join(nodes, ["area_id", "node_id"])
     from_ways = at.groupBy("area_id", "source_id").agg(
-        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.first("tags").alias("tags"), F.first("nodes").alias("footprint")
-    )
+        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.first("tags").alias("tags"), F.first("nodes").alias("footprint"), F.count(F.lit(1)).alias("_n"), F.first("_used").alias("_used"),
+    ).filter("_n = _used")
     from_nodes = raw_nodes.filter(tags.poi_category("tags").isNotNull()).select(
         "area_id", F.col("node_id").alias("source_id"), "lat", "lon", "tags", F.lit(None).cast("array<string>").alias("footprint")
     )

@@ -34,6 +34,8 @@ def segmentize(roads: DataFrame, navigable: DataFrame, nodes: DataFrame) -> Data
     placed = flat.join(nodes.select("area_id", "node_id", "lat", "lon"), ["area_id", "node_id"]).join(marks, ["area_id", "node_id"], "left")
     vertex = F.struct("pos", "node_id", geo.point("lon", "lat").alias("p"), F.coalesce("nav", F.lit(False)).alias("nav"))
     ways = placed.groupBy("area_id", "source_id").agg(F.array_sort(F.collect_list(vertex)).alias("v"))
+    # A road with a node that is not there is left out whole, never bridged.
+    ways = ways.join(roads.select("area_id", "source_id", F.size("nodes").alias("_n")), ["area_id", "source_id"]).filter(F.size("v") == F.col("_n")).drop("_n")
     cut = F.filter(F.transform("v", lambda e, i: F.when(e["nav"], i)), lambda i: i.isNotNull())
     ways = ways.withColumn("c", cut)
     n = F.greatest(F.size("c") - 1, F.lit(0))

@@ -122,16 +122,19 @@ def rings_meeting_rings(shapes: DataFrame, rings: DataFrame, on: str | None = No
     return out.filter(geo.rings_intersect("shape", "ring")).drop("_l", "_r", "_band", "_cell")
 
 
+#: No two points are farther apart.
+HALF_GLOBE_M = 20_015_200.0
+
+
 def nearest(queries: DataFrame, targets: DataFrame, target_id: str, on: str | None = None, start_m: float = 250.0, shape: str | None = None) -> DataFrame:
     """The nearest target of every query point, ties by target id, as ``nearest_id`` and ``distance_m``.
 
     ``queries`` has ``query_id, q_lat, q_lon``. Targets are points (``lat, lon``) or, with ``shape``, lines in that
     column. The search disc starts at ``start_m`` and grows eightfold for unresolved queries only; a hit counts once
-    it lies within the searched radius, so nothing nearer can be missed. The last round covers the globe
-    per equality key through a plain equi join when ``on`` is given."""
+    it lies within the searched radius, so nothing nearer can be missed. It goes on until the radius reaches around the globe."""
     radius, pending, found = start_m, queries, None
     keep = queries.columns
-    for _ in range(8):
+    while True:
         hits = _nearest_round(pending, targets, target_id, on, radius, shape)
         hits = settle(hits)
         done = hits.filter(F.col("nearest_id").isNotNull())
@@ -139,6 +142,8 @@ def nearest(queries: DataFrame, targets: DataFrame, target_id: str, on: str | No
         pending = hits.filter(F.col("nearest_id").isNull()).select(*keep)
         if pending.isEmpty():
             return found
+        if radius >= HALF_GLOBE_M:
+            break
         radius *= 8
     return found.unionByName(pending.select("*", F.lit(None).cast("string").alias("nearest_id"), F.lit(None).cast("double").alias("distance_m")))
 
@@ -163,11 +168,6 @@ def _nearest_round(queries, targets, target_id, on, radius, shape) -> DataFrame:
     )
 
 
-def best_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """First row per key by an order that is unique within the key."""
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_rn = 1").drop("_rn")
-
-
 def lines_within_radius(centers: DataFrame, lines: DataFrame, radius_m: float) -> DataFrame:
     """(center, line) pairs at most ``radius_m`` apart, lines in ``line``."""
     size = max(radius_m, 50.0)

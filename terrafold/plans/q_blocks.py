@@ -152,11 +152,11 @@ def block_road_groups(v: Views):
 
 @query(
     "bounding_road_classes",
-    f"""SELECT DISTINCT area_id, lrow % 8 AS class FROM node_v WHERE lcol < 9""",
+    f"""SELECT DISTINCT area_id, lrow % 8 AS class FROM node_v""",
     ["node"],
 )
 def bounding_road_classes(v: Views):
-    n = v.node.filter("lcol < 9")
+    n = v.node
     members = n.select("area_id", F.col("area_id").alias("block_id"), F.col("node_id").alias("segment_id"))
     segs = n.select("area_id", F.col("node_id").alias("segment_id"), (F.col("lrow") % 8).alias("class"))
     return blocks.block_road_classes(members, segs).select(F.col("block_id").alias("area_id"), "class")
@@ -179,7 +179,7 @@ KX = f"({o.MPD} * cos(radians(n.lat)))"
 @query(
     "road_densities",
     f"""WITH {LINES}, l AS (SELECT node_id, (ax - n.lon) * {KX} AS x1, (ay - n.lat) * {o.MPD} AS y1, (x2 - n.lon) * {KX} - (ax - n.lon) * {KX} AS dx, (y2 - n.lat) * {o.MPD} - (ay - n.lat) * {o.MPD} AS dy
-          FROM node_v n JOIN edge e ON abs(ax - n.lon) < 0.005 AND abs(ay - n.lat) < 0.005 WHERE n.k % 10 = 5),
+          FROM node_v n JOIN edge e ON abs(ax - n.lon) < 0.005 AND abs(ay - n.lat) < 0.005),
         c AS (SELECT node_id, dx * dx + dy * dy AS a, x1 * dx + y1 * dy AS b, x1 * x1 + y1 * y1 - 40000 AS c FROM l)
         SELECT node_id, {o.r6("sum(greatest(least(1, (-b + sqrt(b * b - a * c)) / a) - greatest(0, (-b - sqrt(b * b - a * c)) / a), 0) * sqrt(a)) / 1000 / (100000 / 1000000.0::DOUBLE)")} AS density FROM c WHERE b * b - a * c > 0 GROUP BY node_id""",
     ["node"],
@@ -188,8 +188,7 @@ def road_densities(v: Views):
     from terrafold.plans.q_spatial import lattice_edges
 
     e = lattice_edges(v).select(*(F.col("line")[i][a].alias(n) for i, a, n in ((0, "x", "ax"), (0, "y", "ay"), (1, "x", "bx"), (1, "y", "by"))))
-    n = v.node.filter("k % 10 = 5")
-    c = n.select(F.col("node_id").alias("center_id"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    c = v.node.select(F.col("node_id").alias("center_id"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     d = blocks.road_density(c, e, c.select("center_id", F.lit(100000.0).alias("land_m2")), 200.0)
     return d.select(F.col("center_id").alias("node_id"), F.round("road_density", 6).alias("density"))
 
@@ -213,11 +212,11 @@ def matched_references(v: Views):
 @query(
     "blocks_near_other_areas",
     f"""SELECT p.block_id AS center_id, b.block_id, {o.rn(o.hav('p.lat', 'p.lon', 'b.lat', 'b.lon'), 4)} AS distance_m FROM plot_v p JOIN plot_v b ON {o.hav('p.lat', 'p.lon', 'b.lat', 'b.lon')} <= 500 AND abs(p.lat - b.lat) < 0.005
-        WHERE p.area_id <> b.area_id AND p.area_id = 'R1' AND b.area_id IN (SELECT area_id FROM area_v WHERE status = 'completed')""",
+        WHERE p.area_id <> b.area_id AND b.area_id IN (SELECT area_id FROM area_v WHERE status = 'completed')""",
     ["plot", "area"],
 )
 def blocks_near_other_areas(v: Views):
-    c = v.plot.filter("area_id = 'R1'").select(F.col("block_id").alias("center_id"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.col("area_id").alias("own_area"))
+    c = v.plot.select(F.col("block_id").alias("center_id"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.col("area_id").alias("own_area"))
     return blocks.blocks_within(c, v.plot, v.area).select("center_id", "block_id", F.round("distance_m", 4).alias("distance_m"))
 
 

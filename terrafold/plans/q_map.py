@@ -215,7 +215,7 @@ def lines_cut_by_boundaries(v: Views):
 
 @query(
     "clipped_heights",
-    """SELECT segment_id, 0 AS part, 2 AS n FROM (SELECT concat(area_id, '_', row, '_', col) AS segment_id FROM cell_v WHERE (row * 50 + col) % 11 = 2 AND row < 45 AND col < 48
+    """SELECT segment_id, 0 AS part, 2 AS n FROM (SELECT concat(area_id, '_', row, '_', col) AS segment_id FROM cell_v WHERE row < 49 AND col < 49
        AND area_id IN (SELECT area_id FROM cell_v GROUP BY area_id HAVING count(*) = 2500)) t""",
     ["cell"],
 )
@@ -223,7 +223,7 @@ def clipped_heights(v: Views):
     from terrafold.operators import raster
 
     cells = raster.whole_grids(v.cell)
-    c = cells.filter("(row * 50 + col) % 11 = 2 AND row < 45 AND col < 48")
+    c = cells.filter("row < 49 AND col < 49")
     x, y = F.col("origin_lon") + F.col("col") * F.col("lon_step"), F.col("origin_lat") + F.col("row") * F.col("lat_step")
     # Streets that run far beyond the north edge are cut at the grid's box.
     lines = c.select("area_id", F.concat_ws("_", "area_id", "row", "col").alias("segment_id"), F.array(geo.point(x, y), geo.point(x, y + 0.02)).alias("line"))

@@ -82,7 +82,7 @@ def smoothed_cells(v: Views):
     return s.select("area_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.round("height", 6).alias("height"))
 
 
-PROBES = "SELECT k, area_id, origin_lat + lat_step * ((k * 37) % 600 / 10.0 - 5) AS lat, origin_lon + lon_step * ((k * 53) % 570 / 10.0 - 3) AS lon FROM (SELECT CAST(row * 50 + col AS BIGINT) AS k, area_id, origin_lat, origin_lon, lat_step, lon_step FROM {cell} WHERE (row * 50 + col) % 3 = 1) c"
+PROBES = "SELECT k, area_id, origin_lat + lat_step * ((k * 37) % 600 / 10.0 - 5) AS lat, origin_lon + lon_step * ((k * 53) % 570 / 10.0 - 3) AS lon FROM (SELECT CAST(row * 50 + col AS BIGINT) AS k, area_id, origin_lat, origin_lon, lat_step, lon_step FROM {cell}) c"
 SAMPLE = """smp AS (SELECT k, area_id, r, c, CAST(least(floor(r), 48) AS BIGINT) AS r0, CAST(least(floor(c), 48) AS BIGINT) AS c0 FROM
   (SELECT k, p.area_id, least(greatest((lat - h.origin_lat) / h.lat_step, 0), 49) AS r, least(greatest((lon - h.origin_lon) / h.lon_step, 0), 49) AS c
    FROM ({probes}) p JOIN (SELECT DISTINCT area_id, origin_lat, origin_lon, lat_step, lon_step FROM cell_v) h USING (area_id)) q),
@@ -108,8 +108,8 @@ def points_on_grids(v: Views):
     return p.select("area_id", "k", raster.grid_contains("lat", "lon").alias("inside"))
 
 
-# A tower on every seventh sample: a square of one to three samples' half width around a point near it.
-TOWERS = "SELECT concat('b', area_id, '_', row, '_', col) AS source_id, area_id, origin_lat + lat_step * (row + 0.3) AS y, origin_lon + lon_step * (col + 0.4) AS x, lat_step * (1 + (row * 3 + col) % 3) AS hy, lon_step * (1 + col % 2) AS hx FROM {cell} WHERE (row * 50 + col) % 7 = 3 AND row BETWEEN 4 AND 44 AND col BETWEEN 4 AND 44"
+# A tower on every sample that is far enough from the edges: a square of one to three samples' half width around a point near it.
+TOWERS = "SELECT concat('b', area_id, '_', row, '_', col) AS source_id, area_id, origin_lat + lat_step * (row + 0.3) AS y, origin_lon + lon_step * (col + 0.4) AS x, lat_step * (1 + (row * 3 + col) % 3) AS hy, lon_step * (1 + col % 2) AS hx FROM {cell} WHERE row BETWEEN 4 AND 44 AND col BETWEEN 4 AND 44"
 
 
 def towers(v: Views):
@@ -200,13 +200,12 @@ PIX = "CAST((px * 7 + py * 13) % 101 AS DOUBLE)"
 
 
 def small_points(v: Views):
-    t = v.node.filter("lrow < 3 AND lcol < 3")
-    return t.select("node_id", "lat", "lon")
+    return v.node.select("node_id", "lat", "lon")
 
 
 @query(
     "resampled_heights",
-    f"""WITH p AS (SELECT node_id, ({8388608} * (lon + 180.0::DOUBLE) / 360.0::DOUBLE) - 0.5 AS x, (0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 8388608 - 0.5 AS y FROM node_v WHERE lrow < 3 AND lcol < 3),
+    f"""WITH p AS (SELECT node_id, ({8388608} * (lon + 180.0::DOUBLE) / 360.0::DOUBLE) - 0.5 AS x, (0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 8388608 - 0.5 AS y FROM node_v),
         c AS (SELECT node_id, CAST(floor(x) AS BIGINT) + dx AS px, CAST(floor(y) AS BIGINT) + dy AS py, (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w
               FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dx, dy))
         SELECT node_id, round(sum(w * CASE WHEN (px + py) % 50 = 0 THEN 0 ELSE {PIX} END), 4) + 0.0 AS height FROM c GROUP BY node_id""",

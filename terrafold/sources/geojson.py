@@ -22,6 +22,12 @@ def _pairs(line: Column) -> Column:
     return F.transform(line, lambda p: F.array(p["x"], p["y"]))
 
 
+def _json_text(text: Column) -> Column:
+    """A JSON string with everything escaped that needs it."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def geometry(kind: str, shape: Column) -> Column:
     """GeoJSON geometry text of a point struct, line, ring or array of rings."""
     coords = {
@@ -37,7 +43,7 @@ def to_features(df: DataFrame, layer: str, kind: str, shape: str, id_column: str
     """One row per feature: ``area_id, id, feature`` (GeoJSON text). Properties that the frame lacks are written as null."""
     props = F.struct(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in PROPERTIES[layer])) if PROPERTIES[layer] else F.struct(F.lit(layer).alias("layer"))
     body = F.to_json(props, {"ignoreNullFields": "false"})
-    text = F.concat(F.lit('{"type":"Feature","id":"'), F.col(id_column), F.lit('","geometry":'), geometry(kind, F.col(shape)), F.lit(',"properties":'), body, F.lit("}"))
+    text = F.concat(F.lit('{"type":"Feature","id":'), _json_text(F.col(id_column).cast("string")), F.lit(',"geometry":'), geometry(kind, F.col(shape)), F.lit(',"properties":'), body, F.lit("}"))
     return df.select("area_id", F.col(id_column).alias("id"), text.alias("feature"))
 
 

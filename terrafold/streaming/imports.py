@@ -28,7 +28,7 @@ def stage_counts(batch: DataFrame, batch_id: int) -> DataFrame:
 
 
 def start_import(payloads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Each batch replaces the building layer of the areas it brings, so a replayed batch changes nothing; rejected payloads leave the
+    """Each batch replaces the building layer of the areas it brings (an area that has none now loses its rows), so a replayed batch changes nothing; rejected payloads leave the
     area as it was. Stage counts are written per batch id for the same reason."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -36,7 +36,7 @@ def start_import(payloads: DataFrame, out: str, checkpoint: str) -> StreamingQue
         parts = osm.split_elements(osm.explode_elements(complete))
         nodes = osm.fill_way_nodes(parts["nodes"], parts["ways"])
         buildings = ingest.resolve_geometry(ingest.buildings(ingest.classify_ways(parts["ways"])), nodes)
-        layers.write_layer(buildings.drop("nodes"), f"{out}/buildings")
+        layers.write_layer(buildings.drop("nodes"), f"{out}/buildings", complete)
         stages = stage_counts(batch, batch_id)
         stages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out}/stages")
         rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out}/rejected")
