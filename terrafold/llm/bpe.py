@@ -29,7 +29,7 @@ class Encoder:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[tuple[int, int], tuple[int, ...]] = {}
         self._known: dict[bytes, tuple[int, ...]] = {}
         self._pieces: dict[str, bytes] = {}
 
@@ -82,32 +82,31 @@ class Encoder:
             i = after[i]
         return tuple(out)
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether tokens ``a`` and ``b`` side by side are the encoding of their bytes."""
+    def pair(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of the bytes of two tokens; the tokens are stable side by side if it is these two."""
         known = self._pairs.get((a, b))
         if known is None:
             if len(self._pairs) > MEMORY:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == (a, b)
+            known = self._pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b])
         return known
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
             return left + right
-        if self.stable(left[-1], right[0]):
-            return left + right
         i, j = len(left) - 1, 1
+        inside = self.pair(left[-1], right[0])
         while True:
-            inside = self.merge(b"".join([self.tokens[t] for t in left[i:] + right[:j]]))
-            ok_left = i == 0 or self.stable(left[i - 1], inside[0])
-            ok_right = j == len(right) or self.stable(inside[-1], right[j])
+            ok_left = i == 0 or self.pair(left[i - 1], inside[0]) == (left[i - 1], inside[0])
+            ok_right = j == len(right) or self.pair(inside[-1], right[j]) == (inside[-1], right[j])
             if ok_left and ok_right:
                 return left[:i] + inside + right[j:]
-            # Doubles on the side that isn't stable yet.
+            # The side that isn't stable yet doubles.
             if not ok_left:
                 i = max(0, i - max(1, len(left) - i))
             if not ok_right:
                 j = min(len(right), 2 * j)
+            inside = self.merge(b"".join([self.tokens[t] for t in left[i:] + right[:j]]))
 
     def reduce(self, data: bytes) -> tuple[int, ...]:
         """Encodes the halves and joins them."""

@@ -9,7 +9,7 @@ import re
 
 _MIXED = re.compile(r"[^\S ] [^\S ]")
 #: Distinct pieces remembered by one task; past this the memory starts anew.
-MEMORY = 200_000
+MEMORY = 300_000
 
 
 def pieces(text: str) -> list[str]:
