@@ -96,6 +96,8 @@ class Encoder:
             return left + right
         i, j = len(left) - 1, 1
         inside = self.pair(left[-1], right[0])
+        if inside == (left[-1], right[0]):
+            return left + right
         while True:
             ok_left = i == 0 or self.pair(left[i - 1], inside[0]) == (left[i - 1], inside[0])
             ok_right = j == len(right) or self.pair(inside[-1], right[j]) == (inside[-1], right[j])
