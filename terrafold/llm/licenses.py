@@ -46,10 +46,6 @@ RARE, RAREST, ENOUGH = 2.0, 12, 0.6
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
 
 
-def _lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def _literals(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
@@ -61,6 +57,11 @@ def _places(phrase: str) -> Column:
     return F.filter(here, lambda i: F.slice("_words", i + 2, F.lit(len(rest))) == _literals(rest)) if rest else here
 
 
+def _holds(phrase: str) -> Column:
+    """A cheap test before the words are searched: the text has the letters of every word."""
+    return _all(F.contains("_lower", F.lit(w)) for w in phrase.split())
+
+
 def _stands(phrase: str) -> Column:
     """Whether the words of ``phrase`` stand in ``_lower`` one after the other."""
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -68,8 +69,10 @@ def _stands(phrase: str) -> Column:
 
 
 def _worded(docs: DataFrame) -> DataFrame:
+    # lower() also changes letters beyond A-Z. They are word characters before and after it, and of ASCII letters only k can come of
+    # one (the Kelvin sign), which no phrase has; so words are counted and phrases found as with A-Z alone, many times faster.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lower(text).alias("_lower"), F.xxhash64(text, F.length(text)).alias("_key"))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text).alias("_lower"), F.xxhash64(text, F.length(text)).alias("_key"))
     return df.withColumn("_words", F.regexp_extract_all("_lower", F.lit(WORD), F.lit(0)))
 
 
@@ -94,7 +97,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     df = _worded(docs)
     for k, (phrase, label) in enumerate(PHRASES.items()):
-        df = df.withColumn(f"_at{k}", F.when(F.contains("_lower", F.lit(phrase.split()[-1])), _places(phrase)).otherwise(F.array().cast("array<int>")))
+        df = df.withColumn(f"_at{k}", F.when(_holds(phrase), _places(phrase)).otherwise(F.array().cast("array<int>")))
     at = [F.col(f"_at{k}") for k in range(len(PHRASES))]
     base = F.filter(F.array(*(F.when(F.size(a) > 0, F.lit(label)) for a, label in zip(at, PHRASES.values(), strict=True))), lambda x: x.isNotNull())
     # The rarest licence words of the text, and where they stand.
