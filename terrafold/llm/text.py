@@ -53,35 +53,35 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def runs(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches cut where their texts reach ``RUN_BYTES``, each with its texts."""
+def runs(batches: Iterator[pa.RecordBatch], run_bytes: int = RUN_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches cut where their texts reach ``run_bytes``, each with its texts."""
     for batch in batches:
-        rows = texts(batch.column(text_col))
+        rows = texts(batch.column("text"))
         start, size = 0, 0
         for i, t in enumerate(rows):
             size += len(t)
-            if size >= RUN_BYTES or i == len(rows) - 1:
+            if size >= run_bytes or i == len(rows) - 1:
                 yield batch.slice(start, i + 1 - start), rows[start : i + 1]
                 start, size = i + 1, 0
 
 
-def per_text(df: DataFrame, schema: str, columns: Callable[[list[bytes]], list], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def per_text(df: DataFrame, schema: str, columns: Callable[[list[bytes]], list], run_bytes: int = RUN_BYTES) -> DataFrame:
     """One row per row of ``df``: its ``doc_id`` and what ``columns`` makes of a run of texts, one list or array per column of ``schema``.
 
     Reads only the two columns, so others may have any name. No shuffle."""
     spark_schema = f"doc_id long, {schema}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in runs(batches):
+        for batch, rows in runs(batches, run_bytes):
             made = columns(rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=names)
 
     names = ["doc_id", *(part.split()[0] for part in schema.split(", "))]
-    return two(df, id_col, text_col).mapInArrow(run, spark_schema)
+    return two(df).mapInArrow(run, spark_schema)
 
 
-def two(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def two(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -22,6 +22,8 @@ from terrafold.session import settle
 
 SIZES = (3, 4, 5, 6)
 BUCKETS, BLOCK = 1 << 20, 1 << 14
+#: Bytes of text whose n-grams are held at a time.
+RUN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ def document_counts(train: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int32)
-        for batch, rows in tx.runs(batches):
+        for batch, rows in tx.runs(batches, RUN):
             row, bucket = distinct(*ngrams(rows))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[row] == 1
             for k in (0, 1):
@@ -110,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, features:
     scale, held = ratio[kept], docs.sparkSession.sparkContext.broadcast(spot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in tx.runs(batches):
+        for batch, rows in tx.runs(batches, RUN):
             row, bucket = ngrams(rows)
             at = held.value[bucket]
             row, at = distinct(row[at >= 0], at[at >= 0].astype(np.int64))
@@ -142,4 +144,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         total = model.intercept + np.bincount(row, model.weights[bucket], len(rows))
         return [1 / (1 + np.exp(-np.clip(total, -60, 60)))]
 
-    return tx.per_text(docs, "score double", columns)
+    return tx.per_text(docs, "score double", columns, RUN)
