@@ -209,12 +209,6 @@ def ring_area_m2(ring) -> Column:
     return F.abs(signed_area(ring)) * METERS_PER_DEGREE * meters_per_degree_lon(c["y"])
 
 
-def multi_area_m2(outers, holes) -> Column:
-    """Area of several outer rings minus their holes."""
-    total = lambda rings: F.aggregate(col(rings), F.lit(0.0), lambda acc, r: acc + ring_area_m2(r))
-    return total(outers) - total(holes)
-
-
 def envelope(line) -> Column:
     line = col(line)
     axis = lambda fn, a: fn(F.transform(line, lambda p: p[a]))

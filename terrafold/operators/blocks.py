@@ -26,7 +26,8 @@ GROUPS = {
     "service": "local", "unclassified": "local", "residential": "local", "tertiary": "collector", "secondary": "collector",
     "primary": "arterial", "trunk": "arterial", "motorway": "arterial",
 }
-# group -> width, depth, front setback, side gap, levels
+# What a block without measured buildings is given, in metres and storeys.
+# Each tuple: lot width, lot depth, setback, gap between neighbours, storeys.
 DEFAULTS = {"local": (10.0, 12.0, 4.0, 3.0, 2.0), "collector": (14.0, 16.0, 2.0, 1.0, 3.0), "arterial": (18.0, 20.0, 1.0, 0.0, 5.0)}
 INFORMAL_DEFAULTS = (6.0, 7.0, 0.5, 0.5, 1.0)
 EXCLUDED_LANDUSE = ["forest", "farmland", "cemetery", "railway", "industrial", "park"]
@@ -285,7 +286,8 @@ def suitability(points: DataFrame, water: DataFrame, landuse: DataFrame, slopes:
 # -- references -----------------------------------------------------------------------------------
 
 def match_score(distance_m, group_a, group_b, area_a, area_b, style_a, style_b) -> Column:
-    """Lower is better: distance share of the radius, 1 per different road group and style, log ratio of the areas."""
+    """How unlike two blocks are; 0 for twins at one place. Four terms add up: how much of the search radius lies between them, a
+    whole unit each for another road group and another style, and by what factor their areas differ (natural log)."""
     differs = lambda a, b: F.when(geo.col(a) == geo.col(b), 0.0).otherwise(1.0)
     return geo.col(distance_m) / REFERENCE_RADIUS_M + differs(group_a, group_b) + F.abs(F.ln(geo.col(area_a) / geo.col(area_b))) + differs(style_a, style_b)
 

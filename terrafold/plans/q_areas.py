@@ -76,7 +76,6 @@ def pois_outside_inner_areas(v: Views):
     return compose.without_covered(v.poi, v.area).select("source_id")
 
 
-SQUARES = "SELECT source_id, area_id, lat, lon, {point}  FROM {poi}"
 
 
 @query(

@@ -39,7 +39,6 @@ def turn_kinds(v: Views):
     return v.ping.select("k", geo.turn_kind(d(F.col("k")), d(F.col("k") * 45)).alias("kind"))
 
 
-CENTER_X = "(ring[1].x + " + "{s} / (3 * {t}))"
 CROSS = "(({a}.x - ring[1].x) * ({b}.y - ring[1].y) - ({b}.x - ring[1].x) * ({a}.y - ring[1].y))"
 TWICE = o.steps_sum("ring", CROSS)
 SUM_X = o.steps_sum("ring", f"(({{a}}.x - ring[1].x) + ({{b}}.x - ring[1].x)) * {CROSS}")
@@ -105,7 +104,6 @@ def ring_self_intersections(v: Views):
     return v.boundary.filter(F.col("name").isin("ell", "tie", "out")).select("boundary_id", geo.self_intersects("ring").alias("crosses"))
 
 
-STROKE_AREA = "4 * radius * sqrt(power(hx * 2, 2))"
 
 
 @query(
@@ -164,7 +162,6 @@ def even_picks(v: Views):
     return p.select("k", F.size("a").cast("bigint").alias("n"), F.aggregate("a", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("total"))
 
 
-MUL = lambda a, f: f"(({a} * {f}) & 4294967295)"
 
 
 def unit_sql(seed: str) -> str:

@@ -47,11 +47,6 @@ def to_features(df: DataFrame, layer: str, kind: str, shape: str, id_column: str
     return df.select("area_id", F.col(id_column).alias("id"), text.alias("feature"))
 
 
-def write_features(features: DataFrame, path: str) -> None:
-    """Feature lines (one GeoJSON feature per line, a folder per area): readable in parallel and without a size limit."""
-    features.select("area_id", "feature").write.mode("overwrite").partitionBy("area_id").text(path)
-
-
 def collections(batched: DataFrame) -> DataFrame:
     """FeatureCollection texts per ``area_id, batch``: the batch size (see ``scan.batches``) bounds each text."""
     g = batched.groupBy("area_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "feature"))), lambda e: e["feature"]), ",").alias("f"), F.count("*").alias("n"))
