@@ -1,9 +1,9 @@
 """Licence scan by a positional index of rare words. Built-in SQL functions only.
 
-The index holds the words of short licence templates with their positions. How rare each is comes from all documents. A text is
-looked up by its rarest few licence words only; each such word votes for (template, place where the template would start). Places
-are where the postings of several words meet; the share of the template's looked-up weight that meets there is the evidence. A
-template also names key phrases, all of which must stand in the text.
+The index holds the words of short licence templates with their positions. How rare each is comes from all documents. A template
+names key phrases; texts where all of them stand are looked up by all their licence words, however many notices they hold. Each such
+word votes for (template, place where the template would start). Places are where the postings of several words meet; the share of
+the template's weight that meets there is the evidence.
 
 The word array of a text is made once; the index is a fixed table of some hundred postings, which is all that is broadcast."""
 
@@ -40,9 +40,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
     ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
 )
-#: A licence word is rare from this inverse document frequency on; so many of a text's rarest are looked up; the share of a template's
-#: weight that must meet.
-RARE, RAREST, ENOUGH = 2.0, 12, 0.6
+#: A licence word is rare from this inverse document frequency on; the share of a template's weight that must meet.
+RARE, ENOUGH = 2.0, 0.6
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
 
 
@@ -100,17 +99,13 @@ def scanned(docs: DataFrame) -> DataFrame:
         df = df.withColumn(f"_at{k}", F.when(_holds(phrase), _places(phrase)).otherwise(F.array().cast("array<int>")))
     at = [F.col(f"_at{k}") for k in range(len(PHRASES))]
     base = F.filter(F.array(*(F.when(F.size(a) > 0, F.lit(label)) for a, label in zip(at, PHRASES.values(), strict=True))), lambda x: x.isNotNull())
-    # The rarest licence words of the text, and where they stand.
-    rare = F.transform(F.array_sort(F.transform(F.array_intersect("_words", _literals(sorted(weight))), lambda w: F.struct((-_weight_of(weight)[w]).alias("order"), w.alias("word")))), lambda x: x["word"])
-    df = df.withColumn("_all", F.concat(*at)).withColumn("_rare", F.slice(rare, 1, RAREST) if weight else F.array().cast("array<string>"))
-    hits = F.filter(F.transform("_words", lambda w, i: F.when(F.array_contains("_rare", w), F.struct(w.alias("word"), i.alias("i")))), lambda x: x.isNotNull())
-    df = df.withColumn("_hits", F.when(F.size("_rare") > 0, hits))
-    told = F.filter(F.array(*(F.when(F.lit(whole[t] > 0) & _all(_stands(p) for p in phrases), F.lit(t)) for t, (_, _, phrases) in enumerate(TEMPLATES))), lambda x: x.isNotNull())
-    df = df.withColumn("_told", F.when(F.size("_rare") > 0, told))
+    told = F.filter(F.array(*(F.when(F.lit(whole[t] > 0) & _all(_holds(p) & _stands(p) for p in phrases), F.lit(t)) for t, (_, _, phrases) in enumerate(TEMPLATES))), lambda x: x.isNotNull())
+    hits = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(VOCABULARY), F.struct(w.alias("word"), i.alias("i")))), lambda x: x.isNotNull())
+    df = df.withColumn("_all", F.concat(*at)).withColumn("_told", told)
     rows = settle(
         df.select(
             "doc_id", "_key", F.size("_words").cast("long").alias("n_words"), F.size("_all").cast("long").alias("n_base"), F.array_min("_all").cast("long").alias("first_word"), F.array_max("_all").cast("long").alias("last_word"),
-            F.array_sort(F.array_distinct(base)).alias("_base"), F.when(F.size("_told") > 0, F.col("_hits")).alias("_hits"), "_told",
+            F.array_sort(F.array_distinct(base)).alias("_base"), F.when(F.size("_told") > 0, hits).alias("_hits"), "_told",
         )
     )
     index = spark.createDataFrame(postings or [("", 0, 0, 0.0)], "word string, t int, p int, weight double")
@@ -128,9 +123,5 @@ def scanned(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
 
 
-def _weight_of(weight: dict[str, float]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in sorted(weight.items()) for x in pair))
-
-
 def _all(conditions) -> Column:
     return reduce(and_, conditions)

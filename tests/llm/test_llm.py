@@ -259,6 +259,17 @@ def test_licenses(saved):
     assert licenses.scanned(saved([])).count() == 0
 
 
+def test_licenses_several_notices(saved):
+    """Every notice of a text is told, however many others stand beside it."""
+    words = {label: t for label, t, _ in reversed(licenses.TEMPLATES)}
+    held = [("mit", "bsd", "all-rights-reserved"), ("gpl-2.0", "mit"), ("mit", "isc"), ("bsd", "all-rights-reserved"), tuple(words)]
+    rows = [(k, prose(k, 20) + "\n" + f"\n{prose(k + 9, 5)}\n".join(words[x] for x in own)) for k, own in enumerate(held)] + [(100 + i, prose(i, 30)) for i in range(90)]
+    out = {r.doc_id: r for r in licenses.scanned(saved(rows)).collect()}
+    for k, own in enumerate(held):
+        assert set(own) <= set(out[k].labels.split(",")) and out[k].score == 1.0
+    assert all(out[100 + i].labels == "" for i in range(90))
+
+
 # -- op 7 -----------------------------------------------------------------------------------------
 
 def brute_quality(t):
