@@ -1,9 +1,10 @@
 """Licence scan by a positional index of rare words. Built-in SQL functions only.
 
-The index holds the words of short licence templates with their positions. How rare each is comes from all documents. A template
-names key phrases; texts where all of them stand are looked up by all their licence words, however many notices they hold. Each such
-word votes for (template, place where the template would start). Places are where the postings of several words meet; the share of
-the template's weight that meets there is the evidence.
+The index holds all words of short licence templates with their positions. How rare each is comes from all documents; a word that
+is in all of them still weighs 1, so a notice is told however many documents hold it. A template names key phrases; texts where all
+of them stand are looked up by all their licence words, however many notices they hold. Each such word votes for (template, place
+where the template would start). Places are where the postings of several words meet; the share of the template's weight that meets
+there is the evidence.
 
 The word array of a text is made once; the index is a fixed table of some hundred postings, which is all that is broadcast."""
 
@@ -40,8 +41,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
     ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
 )
-#: A licence word is rare from this inverse document frequency on; the share of a template's weight that must meet.
-RARE, ENOUGH = 2.0, 0.6
+#: The share of a template's weight that must meet.
+ENOUGH = 0.6
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
 
 
@@ -76,10 +77,11 @@ def _worded(docs: DataFrame) -> DataFrame:
 
 
 def weights(docs: DataFrame) -> dict[str, float]:
-    """The inverse document frequency (natural log) of each licence word, over all documents; at most as many rows as templates have words."""
+    """1 and the inverse document frequency (natural log) of each licence word, over all documents; at most as many rows as templates have
+    words."""
     seen = F.concat(F.array_intersect("_words", _literals(VOCABULARY)), _literals([""]))
     counts = {r["word"]: r["n"] for r in _worded(docs).select(F.explode(seen).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {w: math.log((counts.get("", 0) + 1) / (counts.get(w, 0) + 1)) for w in VOCABULARY}
+    return {w: 1 + math.log((counts.get("", 0) + 1) / (counts.get(w, 0) + 1)) for w in VOCABULARY}
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -90,8 +92,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     of a found template that stands together, at least one half with a base label, else 0. Null and empty texts have no words;
     null ids are passed on; repeated rows are scanned alike; other columns are not read. No rows give no rows."""
     spark = docs.sparkSession
-    weight = {w: x for w, x in weights(docs).items() if x >= RARE}
-    postings = [(w, t, p, weight[w]) for t, (_, words, _) in enumerate(TEMPLATES) for p, w in enumerate(words.split()) if w in weight]
+    weight = weights(docs)
+    postings = [(w, t, p, weight[w]) for t, (_, words, _) in enumerate(TEMPLATES) for p, w in enumerate(words.split())]
     whole = {t: sum(x for _, u, _, x in postings if u == t) for t in range(len(TEMPLATES))}
 
     df = _worded(docs)
@@ -99,7 +101,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         df = df.withColumn(f"_at{k}", F.when(_holds(phrase), _places(phrase)).otherwise(F.array().cast("array<int>")))
     at = [F.col(f"_at{k}") for k in range(len(PHRASES))]
     base = F.filter(F.array(*(F.when(F.size(a) > 0, F.lit(label)) for a, label in zip(at, PHRASES.values(), strict=True))), lambda x: x.isNotNull())
-    told = F.filter(F.array(*(F.when(F.lit(whole[t] > 0) & _all(_holds(p) & _stands(p) for p in phrases), F.lit(t)) for t, (_, _, phrases) in enumerate(TEMPLATES))), lambda x: x.isNotNull())
+    told = F.filter(F.array(*(F.when(_all(_holds(p) & _stands(p) for p in phrases), F.lit(t)) for t, (_, _, phrases) in enumerate(TEMPLATES))), lambda x: x.isNotNull())
     hits = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(VOCABULARY), F.struct(w.alias("word"), i.alias("i")))), lambda x: x.isNotNull())
     df = df.withColumn("_all", F.concat(*at)).withColumn("_told", told)
     rows = settle(
@@ -108,8 +110,8 @@ def scanned(docs: DataFrame) -> DataFrame:
             F.array_sort(F.array_distinct(base)).alias("_base"), F.when(F.size("_told") > 0, hits).alias("_hits"), "_told",
         )
     )
-    index = spark.createDataFrame(postings or [("", 0, 0, 0.0)], "word string, t int, p int, weight double")
-    names = spark.createDataFrame([(t, label, max(whole[t], 1e-9)) for t, (label, _, _) in enumerate(TEMPLATES)], "t int, label string, whole double")
+    index = spark.createDataFrame(postings, "word string, t int, p int, weight double")
+    names = spark.createDataFrame([(t, label, whole[t]) for t, (label, _, _) in enumerate(TEMPLATES)], "t int, label string, whole double")
     hit = rows.filter("size(_hits) > 0").dropDuplicates(["doc_id", "_key"]).select("doc_id", "_key", "_told", F.explode("_hits").alias("hit"))
     # Words whose postings agree on the place where the template would start.
     votes = hit.select("doc_id", "_key", "_told", "hit.word", "hit.i").join(F.broadcast(index), "word").filter(F.array_contains("_told", F.col("t")))

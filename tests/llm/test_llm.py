@@ -270,6 +270,15 @@ def test_licenses_several_notices(saved):
     assert all(out[100 + i].labels == "" for i in range(90))
 
 
+def test_licenses_common_notice(saved):
+    """A notice is told in a third of all rows and in tables of few rows as in any other."""
+    for words, label in [("all rights reserved", "all-rights-reserved"), (licenses.TEMPLATES[0][1], "mit"), ("licensed under cc by nc 4 0", "cc-by,cc-by-nc")]:
+        rows = [(i, prose(i, 20) + ("\n" + words if i % 3 == 0 else "")) for i in range(60)]
+        for some in (rows, rows[:2], rows[:1]):
+            got = {r.doc_id: (r.labels, r.score) for r in licenses.scanned(saved(some)).collect()}
+            assert got == {i: (label, 1.0) if i % 3 == 0 else ("", 0.0) for i, _ in some}
+
+
 # -- op 7 -----------------------------------------------------------------------------------------
 
 def brute_quality(t):
