@@ -44,8 +44,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their place in a sequence."""
-    return packing.packed(docs, TOKENIZER, end_id=0, size=2048)
+    """Pieces of at most 2048 tokens: their ids (of the text that all stages left), digest and place in a sequence."""
+    return packing.packed(docs, TOKENIZER, end_id=0, size=2048, with_ids=True)
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_duplicates), ("substring dedup", repeated_passages), ("personal data", personal_data), ("packing", pack)]

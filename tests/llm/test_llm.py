@@ -457,6 +457,24 @@ def test_pipeline_stages(spark, saved, tmp_path):
     assert ids("packing") == ids("near-dedup")
 
 
+def test_pipeline_gives_token_ids(spark, saved, tmp_path):
+    """Every stage by ``run``: the ids of the last one are those of the text that the others left."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows = [(i, prose(i + 50, 120 if i else 4000, 3000)) for i in range(20)] + [(None, prose(900, 90, 3000)), (30, prose(700, 90, 3000) + " mail a@b.cd")]
+    saved(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).orderBy("doc_id", "start").collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        ids[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    encoder = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    texts = {i: t.replace("a@b.cd", "<EMAIL>") for i, t in rows}
+    assert set(ids) == set(texts)
+    for i, t in texts.items():
+        assert ids[i] == [*encoder.encode(t, add_special_tokens=False).ids, 0]
+
+
 def test_words_are_split_at_the_six_blanks():
     assert tx.words(b"a\x1cb\x0bc\xc2\x85d\x0ce") == [b"a\x1cb", b"c\xc2\x85d", b"e"]
 
