@@ -97,7 +97,7 @@ def pois(classified: DataFrame, raw_nodes: DataFrame, nodes: DataFrame) -> DataF
     at = flat.join(nodes, ["area_id", "node_id"])
     from_ways = at.groupBy("area_id", "source_id").agg(
         F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.first("tags").alias("tags"), F.first("nodes").alias("footprint"), F.count(F.lit(1)).alias("_n"), F.first("_used").alias("_used"),
-    ).filter("_n = _used")
+    ).filter("_n = _used").drop("_n", "_used")
     from_nodes = raw_nodes.filter(tags.poi_category("tags").isNotNull()).select(
         "area_id", F.col("node_id").alias("source_id"), "lat", "lon", "tags", F.lit(None).cast("array<string>").alias("footprint")
     )
