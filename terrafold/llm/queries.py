@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import bpe, licenses, minhash, mixing, neighbours, packing, pii, quality, substrings, toxicity
+from terrafold.llm import bpe, decontamination, licenses, minhash, mixing, neighbours, packing, pii, quality, resampling, substrings, toxicity, whitening
 from terrafold.llm.sql import SQL
 from terrafold.llm.text import documents
 
@@ -57,6 +57,26 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_substrings, op3_mixing, op4_pii, op5_toxicity, op6_licenses, op7_quality, op8_packing, op9_bpe, op10_neighbours)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=25, buckets=10_000, least_words=20, seed=7)
+    return out.drop("n_words")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash, op2_substrings, op3_mixing, op4_pii, op5_toxicity, op6_licenses, op7_quality, op8_packing, op9_bpe, op10_neighbours, op11_whitening, op12_decontamination, op13_resampling,
+    )
+}
 
 __all__ = ["QUERIES", "SQL"]

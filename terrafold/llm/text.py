@@ -14,6 +14,9 @@ MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Rows of one batch are handled in runs of about this many bytes, so very long texts don't add up.
 RUN_BYTES = 8 << 20
 
+#: Lower-cases A-Z, keeps a-z, 0-9 and bytes of characters beyond ASCII, and makes a blank of every other byte.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
