@@ -312,6 +312,42 @@ def canonical_ring(ring) -> Column:
     return F.concat(turned, F.array(turned[0]))
 
 
+def polygon(outer, holes=None) -> Column:
+    """``struct<outer, holes>``: a closed ring and the closed rings of its holes."""
+    none = F.slice(F.array(col(outer)), F.lit(1), F.lit(0))
+    return F.struct(col(outer).alias("outer"), (none if holes is None else F.coalesce(col(holes), none)).alias("holes"))
+
+
+def canonical_polygon(poly) -> Column:
+    """Every ring started at its lowest vertex, the holes in the order of these vertices."""
+    poly = col(poly)
+    return F.struct(canonical_ring(poly["outer"]).alias("outer"), F.array_sort(F.transform(poly["holes"], canonical_ring)).alias("holes"))
+
+
+def polygon_rings(poly) -> Column:
+    """All rings, the outer one first."""
+    poly = col(poly)
+    return F.concat(F.array(poly["outer"]), poly["holes"])
+
+
+def polygon_area_m2(poly) -> Column:
+    """Square metres of the outer ring less those of the holes, all on the plane of the outer ring's centroid."""
+    poly = col(poly)
+    holes = F.aggregate(F.transform(poly["holes"], lambda r: F.abs(signed_area(r))), F.lit(0.0), lambda acc, a: acc + a)
+    return (F.abs(signed_area(poly["outer"])) - holes) * METERS_PER_DEGREE * meters_per_degree_lon(centroid(poly["outer"])["y"])
+
+
+def multi_area_m2(polygons) -> Column:
+    """Square metres of all parts of an array of polygons."""
+    return F.aggregate(F.transform(col(polygons), polygon_area_m2), F.lit(0.0), lambda acc, a: acc + a)
+
+
+def point_in_polygon(x, y, poly) -> Column:
+    """Even-odd rule over all rings: a point in a hole is outside."""
+    poly = col(poly)
+    return point_in_ring(x, y, poly["outer"]) & ~F.exists(poly["holes"], lambda r: point_in_ring(x, y, r))
+
+
 def circle_ring(x, y, radius, segments: int = 16) -> Column:
     """Regular closed polygon whose area equals the circle's."""
     fit = math.sqrt(math.pi / ((segments / 2) * math.sin(2 * math.pi / segments)))

@@ -103,33 +103,6 @@ def simplify(lines: DataFrame, tolerance: float, line: str = "line") -> DataFram
     return lines.withColumn("_k", mask).withColumn(line, F.filter(line, lambda p, i: F.element_at("_k", i + 1))).drop("_k")
 
 
-def clip_lines_to_boundary(lines: DataFrame, boundaries: DataFrame, key: str) -> DataFrame:
-    """Lines cut at traced boundaries: ``boundary_id, <key>, edge, t0, piece`` with one straight piece per row, in walk order by (edge, t0). Each edge
-    is cut where it meets the ring; a piece stays when its middle lies inside."""
-    b = boundaries.select("boundary_id", "area_id", "ring")
-    hit = spatial.lines_meeting_rings(lines.select("area_id", key, "line"), b, on="area_id")
-    e = hit.select("boundary_id", key, "ring", F.posexplode(geo.steps("line")).alias("edge", "s"))
-    x = lambda end, ax: F.col(f"s.{end}.{ax}")
-    dx, dy = x("b", "x") - x("a", "x"), x("b", "y") - x("a", "y")
-
-    def meet(t):
-        rx, ry = t["b"]["x"] - t["a"]["x"], t["b"]["y"] - t["a"]["y"]
-        det = dx * ry - dy * rx
-        ox, oy = t["a"]["x"] - x("a", "x"), t["a"]["y"] - x("a", "y")
-        u, w = F.try_divide(ox * ry - oy * rx, det), F.try_divide(ox * dy - oy * dx, det)
-        return F.when(u.between(0, 1) & w.between(0, 1), u)
-
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.array_compact(F.transform(geo.steps("ring"), meet)))))
-    e = e.withColumn("_t", cuts)
-    n = F.size("_t") - 1
-    spans = F.zip_with(F.slice("_t", F.lit(1), n), F.slice("_t", F.lit(2), n), lambda p, q: F.struct(p.alias("t0"), q.alias("t1")))
-    e = e.select("boundary_id", key, "ring", "edge", "s", F.explode(spans).alias("u"))
-    at = lambda t: geo.point(x("a", "x") + dx * t, x("a", "y") + dy * t)
-    mid = (F.col("u.t0") + F.col("u.t1")) / 2
-    inside = geo.point_in_ring(x("a", "x") + dx * mid, x("a", "y") + dy * mid, "ring")
-    return e.filter(inside).select("boundary_id", key, "edge", F.col("u.t0").alias("t0"), F.array(at(F.col("u.t0")), at(F.col("u.t1"))).alias("piece"))
-
-
 def boundary_in_box(boundaries: DataFrame, areas: DataFrame, cell: float = 0.005) -> DataFrame:
     """A traced ring cut to its area's box and reduced to one outline: the largest part, how many parts were left out, and whether holes were
     filled. Vertices are clamped into the box, so rounding never leaves one outside."""
@@ -167,13 +140,21 @@ def within_bbox(kind: str, layers: dict[str, DataFrame], boxes: DataFrame, conta
     return spatial.points_in_boxes(df, boxes, strict=contained)
 
 
+def polygons_meeting(layer: DataFrame, scopes: DataFrame, on: str, *key: str) -> DataFrame:
+    """``scope columns, <key>`` of the entities (``polygons``) that share a point with a scope's ``ring``; a scope within a hole meets nothing."""
+    parts = layer.select(on, *key, F.explode("polygons").alias("_p")).withColumn("shape", F.col("_p.outer"))
+    met = spatial.rings_meeting_rings(parts, scopes, on=on)
+    in_hole = F.exists("_p.holes", lambda h: geo.point_in_ring(F.col("ring")[0]["x"], F.col("ring")[0]["y"], h) & ~geo.lines_touch(h, F.col("ring")))
+    return met.filter(~in_hole).select(*(c for c in scopes.columns if c != "ring"), *key).distinct()
+
+
 def map_data(features: dict[str, DataFrame], network_layers: dict[str, DataFrame], areas: DataFrame, boundaries: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every layer of every completed area at once, whole entities only.
+    """Every layer of every completed area at once, whole entities only (see ``clip`` for cut ones).
 
-    ``features`` (``area_id, source_id`` and ``lat, lon`` or ``ring``) are composed over the inner areas: each source id once, the area's own copy first, as
-    ``outer_id``. ``network_layers`` (``segments`` with ``line``, ``nodes``) stay the area's own. With ``boundaries`` (``boundary_id, area_id, ring``) each layer is
+    ``features`` (``area_id, source_id`` and ``lat, lon``, ``ring``, ``polygon`` or ``polygons``) are composed over the inner areas: each source id once, the area's own copy
+    first, as ``outer_id``. ``network_layers`` (``segments`` with ``line``, ``nodes``) stay the area's own. With ``boundaries`` (``boundary_id, area_id, ring``) each layer is
     narrowed to what meets a boundary; ends of kept segments stay, so the result is routable."""
-    from terrafold.operators import compose, network
+    from terrafold.operators import clip, compose, network
 
     owners = compose.owners(areas)
     out = {n: compose.compose_by_source_id(df, owners) for n, df in features.items()} | dict(network_layers)
@@ -182,8 +163,8 @@ def map_data(features: dict[str, DataFrame], network_layers: dict[str, DataFrame
     b = boundaries.select("boundary_id", F.col("area_id").alias("outer_id"), "ring")
     for n in features:
         df = out[n]
-        if "ring" in df.columns:
-            out[n] = spatial.rings_meeting_rings(df.withColumnRenamed("ring", "shape"), b, on="outer_id").drop("ring").withColumnRenamed("shape", "ring")
+        if {"ring", "polygon", "polygons"} & set(df.columns):
+            out[n] = df.join(polygons_meeting(clip.as_polygons(df), b, "outer_id", "source_id"), ["outer_id", "source_id"])
         else:
             out[n] = spatial.points_in_rings(df, b, on="outer_id").drop("ring")
     own = b.withColumnRenamed("outer_id", "area_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.operators import compose, mapdata, reconcile, scan
+from terrafold.operators import clip, compose, mapdata, reconcile, scan
 from terrafold.plans import oracle as o
 from terrafold.plans.q_areas import owned_pois
 from terrafold.plans.q_areas import OWNED, OWNERS
@@ -209,8 +209,9 @@ def boundaries_in_boxes(v: Views):
 )
 def lines_cut_by_boundaries(v: Views):
     line = F.array(geo.point(F.col("lon") - 0.003, "lat"), geo.point(F.col("lon") + 0.003, "lat"))
-    c = mapdata.clip_lines_to_boundary(v.poi.select("area_id", "source_id", line.alias("line")), v.boundary.filter("name = 'ell'"), "source_id")
-    return c.groupBy("boundary_id", "source_id").agg(F.round(F.sum(geo.planar_length("piece")) * 100000, 3).alias("length"))
+    c = clip.clip_lines(v.poi.select("area_id", "source_id", line.alias("line")), clip.scopes_of(v.area, v.boundary.filter("name = 'ell'")), "source_id")
+    length = F.aggregate("parts", F.lit(0.0), lambda acc, part: acc + geo.planar_length(part))
+    return c.select(F.col("scope_id").alias("boundary_id"), "source_id", F.round(length * 100000, 3).alias("length"))
 
 
 @query(

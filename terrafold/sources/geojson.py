@@ -39,6 +39,23 @@ def geometry(kind: str, shape: Column) -> Column:
     return F.to_json(F.struct(F.lit(kind).alias("type"), coords.alias("coordinates")))
 
 
+def lines_geometry(parts) -> Column:
+    """The geometry of an array of lines: one line, or several as one geometry."""
+    parts = geo.col(parts)
+    single = F.to_json(F.struct(F.lit("LineString").alias("type"), _pairs(F.try_element_at(parts, F.lit(1))).alias("coordinates")))
+    several = F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.transform(parts, _pairs).alias("coordinates")))
+    return F.when(F.size(parts) == 1, single).when(F.size(parts) > 1, several)
+
+
+def polygons_geometry(polygons) -> Column:
+    """The geometry of an array of polygons, holes after their outer ring: one polygon, or several as one geometry."""
+    polygons = geo.col(polygons)
+    coords = F.transform(polygons, lambda p: F.transform(geo.polygon_rings(p), _pairs))
+    single = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.try_element_at(coords, F.lit(1)).alias("coordinates")))
+    several = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), coords.alias("coordinates")))
+    return F.when(F.size(polygons) == 1, single).when(F.size(polygons) > 1, several)
+
+
 def to_features(df: DataFrame, layer: str, kind: str, shape: str, id_column: str) -> DataFrame:
     """One row per feature: ``area_id, id, feature`` (GeoJSON text). Properties that the frame lacks are written as null."""
     props = F.struct(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in PROPERTIES[layer])) if PROPERTIES[layer] else F.struct(F.lit(layer).alias("layer"))
