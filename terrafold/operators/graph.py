@@ -5,11 +5,14 @@ plans stay short and a lost executor only repeats one round."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo, ids, tags
-from terrafold.operators import cells
+from terrafold.operators import cells, lists
 from terrafold.session import settle
 
 CLASS_RANK = {c: i for i, c in enumerate(tags.ROAD_CLASSES)}
@@ -116,49 +119,109 @@ def member_points(members: DataFrame, ways: DataFrame, nodes: DataFrame) -> Data
     return inline.unionByName(whole).filter(F.size("line") >= 2)
 
 
-def assemble_rings(pieces: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """Closed outer rings from member pieces (``area_id, relation_id, member_pos, line``) joined end to end.
-
-    Follows the published order: start at the first unused piece, extend at its end by the first fitting piece (reversed when it
-    fits by its end), close, repeat. All open chains of all relations grow by one piece per round; the chain heads of a relation
-    act in member order through a minimum, so the result does not depend on partitioning. Unclosable chains are
-    dropped. Raises when pieces are left after ``max_rounds``."""
+def _joined(pieces: DataFrame) -> DataFrame:
+    """Pieces joined where exactly two of them meet: ``area_id, relation_id, first, member_pos, pos, ahead, ring, front`` for every piece of every
+    run. ``first`` is the smallest member of the run and ``pos`` the place in it, walked in the direction in which ``first`` was drawn; ``ring`` is true where the run
+    closes. An open run is cut where ``first`` begins, into the pieces from there on (``front``) and those before."""
     key = ["area_id", "relation_id"]
-    p = settle(pieces.select(*key, "member_pos", "line", F.element_at("line", 1).alias("s"), F.element_at("line", -1).alias("e")))
-    done = None
-    closed_now = p.filter(F.col("s") == F.col("e")).select(*key, F.col("member_pos").alias("start"), "line")
-    free = p.filter(F.col("s") != F.col("e"))
-    chains = free.select(*key, F.col("member_pos").alias("start"), "line").limit(0)
-    found = [closed_now]
-    for _ in range(max_rounds):
-        # Relations without an open chain start one at their first free piece.
-        busy = chains.select(*key).distinct()
-        starts = free.join(busy, key, "left_anti").groupBy(*key).agg(F.min("member_pos").alias("start"))
-        began = free.join(starts, key).filter("member_pos = start").select(*key, "start", "line")
-        used = began.select(*key, F.col("start").alias("member_pos"))
-        chains = chains.unionByName(began)
-        free = free.join(used, [*key, "member_pos"], "left_anti")
-        tip = chains.select(*key, "start", F.element_at("line", -1).alias("tip"))
-        fits = free.join(tip, key).filter((F.col("s") == F.col("tip")) | (F.col("e") == F.col("tip")))
-        best = fits.groupBy(*key, "start").agg(F.min_by(F.struct("member_pos", "line", (F.col("s") == F.col("tip")).alias("ahead")), "member_pos").alias("n"))
-        grown = chains.join(best, [*key, "start"], "left")
-        rest = F.when(F.col("n.ahead"), F.slice("n.line", F.lit(2), F.size("n.line"))).otherwise(F.reverse(F.slice("n.line", F.lit(1), F.size("n.line") - 1)))
-        state = settle(grown.select(*key, "start", F.when(F.col("n").isNull(), F.col("line")).otherwise(F.concat("line", rest)).alias("line"), F.col("n.member_pos").alias("took")))
-        free = settle(free.join(state.filter("took IS NOT NULL").select(*key, F.col("took").alias("member_pos")), [*key, "member_pos"], "left_anti"))
-        is_closed = F.element_at("line", 1) == F.element_at("line", -1)
-        found.append(state.filter(is_closed).select(*key, "start", "line"))
-        chains = state.filter(~is_closed & F.col("took").isNotNull()).select(*key, "start", "line")
-        if chains.isEmpty() and free.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"rings were not all assembled in {max_rounds} rounds")
-    for f in found:
-        done = f if done is None else done.unionByName(f)
-    own = F.slice("line", F.lit(1), F.size("line") - 1)
-    rings = done.filter(F.size(F.array_distinct(own)) >= 3)
-    from pyspark.sql import Window as W
+    ends = pieces.select(*key, "pid", "member_pos", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("p")), F.struct(F.lit(1).alias("side"), F.col("e").alias("p")))).alias("x"))
+    ends = ends.select(*key, "pid", "member_pos", "x.side", "x.p")
+    # Where two ends meet, who leaves by one goes on by the other; elsewhere one turns round.
+    ends = ends.withColumn("end", F.col("pid") * 2 + F.col("side"))
+    pair = ends.groupBy(*key, "p").agg(F.count("*").alias("n"), F.min("end").alias("lo"), F.max("end").alias("hi"))
+    met = ends.join(pair, [*key, "p"])
+    other = F.when(F.col("n") == 2, F.col("lo") + F.col("hi") - F.col("end")).otherwise(F.col("end"))
+    # A walk through a piece is named by the end it leaves by: 1 is as drawn. It enters the next piece by the end ``other`` and leaves by the opposite.
+    walk = met.select(*key, "member_pos", F.col("end").alias("he"), other.bitwiseXOR(F.lit(1)).alias("nxt"), F.struct("member_pos", (1 - F.col("side")).alias("turned")).alias("label"))
+    walk = settle(walk)
+    runs = lists.ranked(walk.join(lists.around(walk.select("he", "nxt", "label")), "he"), *key, "best")
+    runs = runs.select(*key, F.col("best.member_pos").alias("first"), F.col("best.turned").alias("way"), "member_pos", (F.col("he") % 2 == 1).alias("ahead"), "pos")
+    size = runs.groupBy(*key, "first", "way").agg(
+        F.count("*").alias("n"), F.countDistinct("member_pos").alias("n_pieces"), F.max(F.when((F.col("member_pos") == F.col("first")) & ~F.col("ahead"), F.col("pos"))).alias("back"),
+    )
+    runs = runs.join(size, [*key, "first", "way"]).filter("way = 0").withColumn("ring", F.col("n") == F.col("n_pieces"))
+    # An open run is walked there and back: forth from ``first``, back through it to the other end, and from there to ``first`` again.
+    half = (F.col("back") + 1) / 2
+    runs = runs.filter(F.col("ring") | (F.col("pos") < half) | (F.col("pos") >= half + F.col("n_pieces")))
+    return runs.select(*key, "first", "member_pos", "pos", "ahead", "ring", (F.col("ring") | (F.col("pos") < half)).alias("front"))
+
+
+def _lines_of(runs: DataFrame, pieces: DataFrame, *key: str) -> DataFrame:
+    """The pieces' lines end to end per ``key``, in the order of ``pos``, turned where not ``ahead``."""
+    j = runs.join(pieces.select("area_id", "relation_id", "member_pos", "line"), ["area_id", "relation_id", "member_pos"])
+    line = F.when(F.col("ahead"), F.col("line")).otherwise(F.reverse("line"))
+    g = j.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))).alias("v"))
+    return g.select(*key, F.concat(F.slice(F.col("v")[0]["l"], 1, 1), F.flatten(F.transform("v", lambda x: F.slice(x["l"], F.lit(2), F.size(x["l"]))))).alias("line"))
+
+
+def _choose(runs: pd.DataFrame) -> pd.DataFrame:
+    """Rings of one relation from its runs: from the first unused one, on by the first that fits the end (turned when it fits by its end) until the
+    start is reached again. ``head`` and ``tail`` are the members at a run's two ends; whichever is met decides the order."""
+    rows = runs.sort_values("head", kind="stable").reset_index(drop=True)
+    fits: dict[str, list[tuple[int, int, bool]]] = {}
+    for i, r in enumerate(rows.itertuples(index=False)):
+        fits.setdefault(r.s, []).append((r.head, i, True))
+        fits.setdefault(r.e, []).append((r.tail, i, False))
+    for v in fits.values():
+        v.sort(key=lambda x: (x[0], not x[2]))
+    used, out = np.zeros(len(rows), bool), []
+    for start in rows["order"].to_numpy().argsort(kind="stable"):
+        if used[start]:
+            continue
+        used[start] = True
+        chain, tip = [(start, True)], rows.e[start]
+        while tip != rows.s[start]:
+            at = fits.get(tip, [])
+            while at and used[at[0][1]]:
+                at.pop(0)
+            if not at:
+                break
+            _, i, ahead = at[0]
+            used[i] = True
+            chain.append((i, ahead))
+            tip = rows.e[i] if ahead else rows.s[i]
+        else:
+            out += [(rows.order[start], k, rows.run[i], ahead) for k, (i, ahead) in enumerate(chain)]
+    chosen = pd.DataFrame(out, columns=["start", "turn", "run", "run_ahead"])
+    return chosen.assign(area_id=rows.area_id[0], relation_id=rows.relation_id[0])[["area_id", "relation_id", "start", "turn", "run", "run_ahead"]]
+
+
+def assemble_rings(pieces: DataFrame) -> DataFrame:
+    """Closed outer rings ``area_id, relation_id, source_id, ring`` from member pieces (``area_id, relation_id, member_pos, line``) joined end to end.
+
+    The published order: start at the first unused piece, extend at its end by the first fitting piece (reversed when it fits by its
+    end), close, repeat; chains that can't be closed are dropped with their pieces. Where just two pieces meet there is nothing to choose, so
+    such runs are joined by ranking them as linked lists, in as many rounds as the longest has binary digits. What is left are the joints where more
+    meet: there a relation's runs (no geometry, and fewer than the members its one element listed) are chosen in member order."""
+    key = ["area_id", "relation_id"]
+    same = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))
+    p = settle(pieces.select(*key, "member_pos", "line", same(F.element_at("line", 1)).alias("s"), same(F.element_at("line", -1)).alias("e"), F.monotonically_increasing_id().alias("pid")))
+    runs = settle(_joined(p))
+    simple = _lines_of(runs.filter("ring"), p, *key, "first").withColumnRenamed("first", "start")
+
+    # Runs between joints: where they begin and end, and which members stand there.
+    open_ = runs.filter("NOT ring").withColumn("run", F.col("first") * 2 + F.when(F.col("front"), 0).otherwise(1))
+    along = open_.join(p.select(*key, "member_pos", "s", "e"), [*key, "member_pos"])
+    enter, leave = F.when(F.col("ahead"), F.col("s")).otherwise(F.col("e")), F.when(F.col("ahead"), F.col("e")).otherwise(F.col("s"))
+    spans = along.groupBy(*key, "run").agg(
+        F.min_by(enter, "pos").alias("s"), F.max_by(leave, "pos").alias("e"), F.min_by("member_pos", "pos").alias("head"), F.max_by("member_pos", "pos").alias("tail"), F.min("member_pos").alias("order"),
+    )
+    # A relation without a joint of three ends closes nothing more.
+    joints = spans.select(*key, F.explode(F.array("s", "e")).alias("p")).groupBy(*key, "p").agg(F.count("*").alias("n")).filter("n > 2").select(*key).distinct()
+    schema = "area_id string, relation_id string, start long, turn long, run long, run_ahead boolean"
+    asked = spans.join(joints, key, "left_semi").select("area_id", "relation_id", "s", "e", F.col("head").cast("long").alias("head"), F.col("tail").cast("long").alias("tail"), F.col("order").cast("long").alias("order"), F.col("run").cast("long").alias("run"))
+    chosen = settle(asked.groupBy(*key).applyInPandas(_choose, schema))
+    sized = open_.groupBy(*key, "run").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    parts = chosen.join(open_, [*key, "run"]).join(sized, [*key, "run"])
+    within = F.when(F.col("run_ahead"), F.col("pos") - F.col("low")).otherwise(F.col("high") - F.col("pos"))
+    parts = parts.select(*key, "start", "member_pos", F.struct(F.col("turn"), within.alias("k")).alias("pos"), (F.col("ahead") == F.col("run_ahead")).alias("ahead"))
+    rings = simple.unionByName(_lines_of(parts, p, *key, "start").withColumn("start", F.col("start").cast(p.schema["member_pos"].dataType)))
 
-    rings = rings.withColumn("_k", F.row_number().over(W.partitionBy(*key).orderBy("start")) - 1).withColumn("_n", F.count("*").over(W.partitionBy(*key)))
+    own = F.slice("line", F.lit(1), F.size("line") - 1)
+    rings = settle(rings.filter(F.size(F.array_distinct(own)) >= 3))
+    # The rings of a relation are fewer than its members.
+    number = W.partitionBy(*key)
+    rings = rings.withColumn("_k", F.row_number().over(number.orderBy("start")) - 1).withColumn("_n", F.count("*").over(number))
     sid = F.when(F.col("_n") == 1, F.concat(F.lit("relation/"), "relation_id")).otherwise(F.concat(F.lit("relation/"), "relation_id", F.lit("/"), "_k"))
     return rings.select(*key, sid.alias("source_id"), F.col("line").alias("ring"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo, rules, tags
+from terrafold.session import settle
 
 
 def classify_ways(ways: DataFrame) -> DataFrame:
@@ -57,6 +58,27 @@ def area_features(classified: DataFrame) -> DataFrame:
     return a.select("area_id", "element_pos", F.col("way_id").alias("source_id"), "nodes", tags.area_kind("tags").alias("kind"))
 
 
+def relation_features(relations: DataFrame, ways: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(buildings, area features, nodes)`` of multipolygon relations (``area_id, element_pos, relation_id, tags, members``): one feature per closed outer
+    ring, in the columns of ``buildings`` and ``area_features``. Inner rings are ignored. Vertices get node ids of their own (``<source_id>#<i>``), because a
+    member's inline geometry names none; they are the third frame. Relations of other kinds, and rings that can't be closed, give nothing."""
+    from terrafold.operators import graph
+
+    t = lambda k: tags.tag("tags", k)
+    kind = F.when(t("building").isNull(), tags.area_kind("tags"))
+    r = relations.filter(t("type") == "multipolygon").withColumn("kind", kind).filter(t("building").isNotNull() | F.col("kind").isNotNull())
+    m = r.select("area_id", "relation_id", F.posexplode("members").alias("member_pos", "m"))
+    m = m.filter("m.type = 'way' AND m.role IN ('outer', '')").select("area_id", "relation_id", "member_pos", "m.ref", "m.geometry")
+    rings = graph.assemble_rings(graph.member_points(m, ways, nodes))
+    ids = F.transform(F.sequence(F.lit(0), F.size("ring") - 2), lambda i: F.concat("source_id", F.lit("#"), i))
+    whole = settle(rings.withColumn("_ids", ids))
+    f = whole.withColumn("nodes", F.concat("_ids", F.slice("_ids", 1, 1))).join(r.select("area_id", "relation_id", "element_pos", "tags", "kind"), ["area_id", "relation_id"])
+    b = f.filter("kind IS NULL").select("area_id", "element_pos", "source_id", "nodes", *_building_columns())
+    a = f.filter("kind IS NOT NULL").select("area_id", "element_pos", "source_id", "nodes", "kind")
+    v = whole.select("area_id", F.explode(F.arrays_zip("_ids", F.slice("ring", F.lit(1), F.size("ring") - 1).alias("p"))).alias("v"))
+    return b, a, v.select("area_id", F.col("v._ids").alias("node_id"), F.col("v.p.y").alias("lat"), F.col("v.p.x").alias("lon"))
+
+
 def skipped_features(classified: DataFrame) -> DataFrame:
     """Building and area ways that are not a closed ring, and poi ways without two distinct vertices."""
     too_short = (F.col("role") == "poi") & ~F.col("ring_ok") & (F.size(F.array_distinct("nodes")) < 2)

@@ -13,6 +13,7 @@ from terrafold.functions import ids
 from terrafold.plans.q_network import APPLIED, NET_VIEWS, ROADS
 from terrafold.plans.registry import query
 from terrafold.plans.views import Views
+from terrafold.session import settle
 
 
 def ways_with_lines(v: Views):
@@ -111,6 +112,48 @@ def assembled_rings(v: Views):
     return rings.select("source_id", F.size("ring").alias("n"), F.round(geo.length_m("ring"), 4).alias("perimeter_m"))
 
 
+# One large ring per region: its customers as vertices around a centre, one piece from each to the next. Members come in a scrambled order, every third piece
+# is drawn backwards, every second has its geometry inline and the others come by their way's nodes.
+VERTICES = """SELECT area_id, k, i, n, (i * 7919 + 13) % n AS member_pos, CAST(10.0135 AS DOUBLE) + CAST(0.03 AS DOUBLE) * CAST(substr(area_id, 2, 3) AS BIGINT) + (CAST(0.004 AS DOUBLE) + CAST(0.0005 AS DOUBLE) * (k % 5)) * sin(i * 2 * pi() / n) AS lat,
+  -CAST(83.9865 AS DOUBLE) + (CAST(0.004 AS DOUBLE) + CAST(0.0005 AS DOUBLE) * (k % 5)) * cos(i * 2 * pi() / n) AS lon
+  FROM (SELECT area_id, k, CAST(row_number() OVER (PARTITION BY area_id ORDER BY k) - 1 AS BIGINT) AS i, CAST(count(*) OVER (PARTITION BY area_id) AS BIGINT) AS n FROM {poi}) c"""
+
+
+@query(
+    "relation_rings",
+    f"""WITH v AS ({VERTICES.format(poi='poi_v')}), e AS (SELECT a.*, b.lat AS lat2, b.lon AS lon2 FROM v a JOIN v b ON a.area_id = b.area_id AND b.i = (a.i + 1) % a.n)
+        SELECT concat('relation/', area_id) AS source_id, CASE WHEN area_id = 'R0' THEN 'residential' WHEN area_id = 'R1' THEN 'park' ELSE 'water' END AS kind, CAST(count(*) + 1 AS INT) AS vertices,
+          {o.rn(f"sum({o.hav('lat', 'lon', 'lat2', 'lon2')})", 3)} AS perimeter_m,
+          {o.rn("max(CASE WHEN member_pos = 0 THEN CASE WHEN k % 3 = 0 THEN lat2 ELSE lat END END)", 7)} AS first_lat, {o.rn("max(CASE WHEN member_pos = 0 THEN CASE WHEN k % 3 = 0 THEN lat ELSE lat2 END END)", 7)} AS second_lat
+        FROM e GROUP BY area_id""",
+    ["poi"],
+)
+def relation_rings(v: Views):
+    vertex = settle(v.spark.sql(VERTICES.format(poi="{poi}"), poi=v.poi))
+    after = vertex.select("area_id", F.pmod(F.col("i") - 1, F.col("n")).alias("i"), F.col("k").alias("k2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    e = vertex.join(after, ["area_id", "i"])
+    node = lambda k: F.concat(F.lit("v"), k)
+    turned = lambda a: F.when(F.col("k") % 3 == 0, F.reverse(a)).otherwise(a)
+    at = lambda lat, lon: F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    nodes = vertex.select("area_id", node("k").alias("node_id"), "lat", "lon")
+    ways = e.filter("k % 2 = 1").select("area_id", node("k").alias("way_id"), turned(F.array(node("k"), node("k2"))).alias("nodes"))
+    member = F.struct(
+        "member_pos", F.lit("way").alias("type"), node("k").alias("ref"), F.when(F.col("k") % 4 == 0, F.lit("")).otherwise(F.lit("outer")).alias("role"),
+        F.when(F.col("k") % 2 == 0, turned(F.array(at("lat", "lon"), at("lat2", "lon2")))).alias("geometry"),
+    )
+    listed = e.groupBy("area_id").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    key, value = F.when(F.col("area_id") == "R0", "building").when(F.col("area_id") == "R1", "leisure").otherwise("natural"), F.when(F.col("area_id") == "R0", "house").when(F.col("area_id") == "R1", "park").otherwise("water")
+    relations = listed.select(
+        "area_id", F.lit(0).cast("bigint").alias("element_pos"), F.col("area_id").alias("relation_id"), F.map_from_arrays(F.array(F.lit("type"), key), F.array(F.lit("multipolygon"), value)).alias("tags"),
+        F.transform("m", lambda x: x.dropFields("member_pos")).alias("members"),
+    )
+    buildings, areas, made = ingest.relation_features(relations, ways, nodes)
+    features = buildings.select("area_id", "source_id", "nodes", F.col("category").alias("kind")).unionByName(areas.select("area_id", "source_id", "nodes", "kind"))
+    rings = ingest.resolve_geometry(features, made, into="ring")
+    at_lat = lambda i: F.round(F.col("ring")[i]["y"], 7)
+    return rings.select("source_id", "kind", F.size("ring").alias("vertices"), F.round(geo.length_m("ring"), 3).alias("perimeter_m"), at_lat(0).alias("first_lat"), at_lat(1).alias("second_lat"))
+
+
 OD_SQL = "od AS (SELECT concat(area_id, '-', j) AS od_id, area_id, concat('n', town * 100 + (j * 37 + 3) % 100) AS origin, concat('n', town * 100 + (j * 53 + 71) % 100) AS destination FROM town_v, range(0, 4) t(j))"
 
 
