@@ -228,49 +228,148 @@ def assemble_rings(pieces: DataFrame) -> DataFrame:
 
 # -- routes ---------------------------------------------------------------------------------------
 
-def shortest_paths(edges: DataFrame, successors: DataFrame, od: DataFrame, cost: str = "distance_m", max_rounds: int = 100_000) -> tuple[DataFrame, DataFrame]:
+#: So many more shortcuts than arcs that go may a contracted state leave.
+SPARE = 3
+#: Tables of improvements that are put together when there are more: each costs every round a scan.
+PARTS = 4
+#: Level of states that were not contracted.
+CORE = 1 << 30
+
+
+def contract(edges: DataFrame, successors: DataFrame, cost: str = "distance_m", least_share: float = 0.15, max_rounds: int = 14) -> DataFrame:
+    """The turn graph with shortcuts over its simple states: ``area_id, u, w, c, mid, lu, lw``.
+
+    A state is a directed edge just taken; an arc ``u -> w`` costs what ``w`` costs. A round takes out states whose shortcuts are hardly more than the arcs they
+    replace (streets without a choice, with or without turning round) and of which no two are neighbours: for every way through such a state one shortcut
+    remembers it as ``mid``. A street of n states shrinks by about a quarter per round. ``lu`` and ``lw`` are the rounds in which the ends went, ``CORE`` for those left.
+    It ends when a round takes out less than ``least_share`` of the states, or after ``max_rounds``: a core of few hops is searched faster than contracted.
+    The result serves any origins and destinations."""
+    cost_of = edges.select("area_id", F.col("segment_id").alias("w"), F.col(cost).alias("c"))
+    arcs = successors.select("area_id", F.col("incoming").alias("u"), F.col("outgoing").alias("w")).filter("u <> w").join(cost_of, ["area_id", "w"])
+    active = settle(arcs.groupBy("area_id", "u", "w").agg(F.min("c").alias("c")).withColumn("mid", F.lit(None).cast("string")))
+    gone, levels, states = [], [], None
+    ends = lambda df: df.select("area_id", F.col("u").alias("state"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(df.select("area_id", F.col("w").alias("state"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    for turn in range(max_rounds):
+        degree = ends(active).groupBy("area_id", "state").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+        # The first of its simple neighbours, in a new random order every round.
+        simple = degree.filter(F.col("i") * F.col("o") <= F.col("i") + F.col("o") + SPARE).select("area_id", "state", F.struct(F.xxhash64("state", F.lit(turn)).alias("h"), "state").alias("rank"))
+        of = lambda end, name: simple.select("area_id", F.col("state").alias(end), F.col("rank").alias(name))  # noqa: E731, B023
+        near = active.select("area_id", "u", "w").join(of("u", "ru"), ["area_id", "u"]).join(of("w", "rw"), ["area_id", "w"])
+        beaten = near.select("area_id", F.when(F.col("ru") < F.col("rw"), F.col("w")).otherwise(F.col("u")).alias("state")).distinct()
+        chosen = settle(simple.select("area_id", "state").join(beaten, ["area_id", "state"], "left_anti"))
+        states = degree.count() if states is None else states
+        went = chosen.count()
+        if went < max(1.0, least_share * states):
+            break
+        states -= went
+        out = lambda end, name: chosen.select("area_id", F.col("state").alias(end), F.lit(True).alias(name))  # noqa: E731, B023
+        told = settle(active.join(out("u", "gu"), ["area_id", "u"], "left").join(out("w", "gw"), ["area_id", "w"], "left"))
+        into = told.filter("gw").select("area_id", "u", F.col("w").alias("mid"), F.col("c").alias("c1"))
+        onward = told.filter("gu").select("area_id", F.col("u").alias("mid"), "w", F.col("c").alias("c2"))
+        short = into.join(onward, ["area_id", "mid"]).filter("u <> w").select("area_id", "u", "w", (F.col("c1") + F.col("c2")).alias("c"), "mid")
+        rest = told.filter("gu IS NULL AND gw IS NULL").select("area_id", "u", "w", "c", "mid")
+        active = settle(rest.unionByName(short).groupBy("area_id", "u", "w").agg(F.min(F.struct("c", "mid")).alias("m")).select("area_id", "u", "w", "m.c", "m.mid"))
+        gone.append(told.filter("gu OR gw").select("area_id", "u", "w", "c", "mid"))
+        levels.append(chosen.withColumn("level", F.lit(turn)))
+    for g in gone:
+        active = active.unionByName(g)
+    level = None
+    for x in levels:
+        level = x if level is None else level.unionByName(x)
+    if level is None:
+        return active.withColumn("lu", F.lit(CORE)).withColumn("lw", F.lit(CORE))
+    at = lambda end: level.select("area_id", F.col("state").alias(end), F.col("level").alias(f"l{end}"))
+    both = active.join(at("u"), ["area_id", "u"], "left").join(at("w"), ["area_id", "w"], "left")
+    return settle(both.select("area_id", "u", "w", "c", "mid", F.coalesce("lu", F.lit(CORE)).alias("lu"), F.coalesce("lw", F.lit(CORE)).alias("lw")))
+
+
+def _spread(start: DataFrame, steps: DataFrame, max_rounds: int, ahead: DataFrame | None = None) -> DataFrame:
+    """Least ``d`` and its ``prev`` for every ``od_id, area_id, state`` reached from ``start`` (``od_id, area_id, state, d``) by ``steps`` (``area_id, state, next, c``).
+
+    A round handles only the states that became better in the round before. Every round's improvements are a table of their own (a few of them are put
+    together now and then), and candidates are compared with the rows of the same states in them. ``ahead`` (``od_id, area_id, state, rest``) tells what is left from
+    a state to the end; ``total`` is then the length by way of it, and states that can't beat a pair's least ``total`` go no further."""
+    def told(df: DataFrame) -> DataFrame:
+        if ahead is None:
+            return df.withColumn("total", F.lit(None).cast("double"))
+        return df.join(ahead, ["od_id", "area_id", "state"], "left").withColumn("total", F.col("d") + F.col("rest")).drop("rest")
+
+    def all_of(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+    best = lambda df: df.groupBy("od_id", "area_id", "state").agg(F.min(F.struct("d", "prev", "total")).alias("m")).select("od_id", "area_id", "state", "m.*")
+    own = ["od_id", "area_id", "state"]
+    parts = [settle(told(best(start.select(*own, "d", F.lit(None).cast("string").alias("prev"), F.lit(None).cast("double").alias("total"))).drop("total")))]
+    fresh = parts[0]
+    for turn in range(max_rounds + 1):
+        if ahead is not None:
+            bound = all_of(parts).groupBy("od_id").agg(F.min("total").alias("bound"))
+            fresh = fresh.join(bound, "od_id", "left").filter("bound IS NULL OR d < bound").drop("bound")
+        to = fresh.select(*own, "d").join(steps, ["area_id", "state"])
+        cand = to.groupBy("od_id", "area_id", F.col("next").alias("state")).agg(F.min(F.struct((F.col("d") + F.col("c")).alias("d"), F.col("state").alias("prev"))).alias("m")).select(*own, "m.*")
+        known = all_of(parts).join(cand.select(*own), own, "left_semi").groupBy(*own).agg(F.min("d").alias("old"))
+        fresh = settle(told(cand.join(known, own, "left").filter("old IS NULL OR d < old").drop("old")))
+        if fresh.isEmpty():
+            return best(all_of(parts))
+        if turn == max_rounds:
+            raise RuntimeError(f"routes are not settled after {max_rounds} rounds")
+        parts.append(fresh)
+        if len(parts) > PARTS:
+            parts = [settle(best(all_of(parts)))]
+    raise AssertionError
+
+
+def _chain(last: DataFrame, tree: DataFrame) -> DataFrame:
+    """Rows of ``tree`` (``od_id, state, prev``) on the way back from ``last`` (``od_id, state``)."""
+    hops = reconstruct(last.select("od_id", F.col("state").alias("last_edge")), tree.select("od_id", F.col("state").alias("edge"), "prev"))
+    return tree.join(hops.select("od_id", F.col("edge").alias("state")), ["od_id", "state"])
+
+
+def shortest_paths(edges: DataFrame, successors: DataFrame, od: DataFrame, cost: str = "distance_m", max_rounds: int = 100_000, arcs: DataFrame | None = None, with_tree: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Turn-aware shortest paths for many origin/destination pairs at once.
 
     ``edges``: ``area_id, segment_id, from_node, to_node, <cost>``; ``successors``: allowed ``area_id, incoming, outgoing``; ``od``: ``od_id,
     area_id, origin, destination``. The state is the last edge taken, so a turn is legal or not by how one arrived. Returns
-    ``(answers, tree)``: per pair its status, last edge and total, and the best predecessor of every reached state.
-
-    Each round relaxes the whole frontier of every pair with two equi joins and one ``min`` aggregate; states that cannot beat the pair's
-    best arrival are left out. It ends when no frontier is left and raises if one is left after ``max_rounds``."""
-    e = edges.select("area_id", "segment_id", "from_node", "to_node", F.col(cost).alias("c"))
-    step = settle(successors.join(e.select("area_id", F.col("segment_id").alias("outgoing"), "to_node", "c"), ["area_id", "outgoing"]))
-    start = od.filter("origin <> destination").join(e.withColumnRenamed("from_node", "origin"), ["area_id", "origin"])
-    state = settle(start.select(
-        "od_id", "area_id", F.col("segment_id").alias("edge"), "destination", (F.col("to_node") == F.col("destination")).alias("arrived"),
-        F.col("c").alias("d"), F.lit(None).cast("string").alias("prev"), F.lit(True).alias("fresh"),
-    ))
-    for turn in range(max_rounds + 1):
-        bound = state.filter("arrived").groupBy("od_id").agg(F.min("d").alias("bound"))
-        open_ = state.filter("fresh AND NOT arrived").join(bound, "od_id", "left").filter("bound IS NULL OR d < bound")
-        if open_.isEmpty():
-            break
-        if turn == max_rounds:
-            raise RuntimeError(f"routes are not settled after {max_rounds} rounds")
-        nxt = open_.select("od_id", "area_id", F.col("edge").alias("incoming"), "destination", "d").join(step, ["area_id", "incoming"])
-        cand = nxt.groupBy("od_id", F.col("outgoing").alias("edge")).agg(
-            F.min(F.struct((F.col("d") + F.col("c")).alias("d"), F.col("incoming").alias("prev"))).alias("m"),
-            F.first("area_id").alias("m_area"), F.first("destination").alias("m_destination"), F.first("to_node").alias("m_to"),
-        )
-        # One outer join carries the old states over and marks the improved ones as the next frontier.
-        j = state.join(cand, ["od_id", "edge"], "full_outer")
-        better = F.col("m").isNotNull() & (F.col("d").isNull() | (F.col("m.d") < F.col("d")))
-        state = settle(j.select(
-            "od_id", F.coalesce("area_id", "m_area").alias("area_id"), "edge", F.coalesce("destination", "m_destination").alias("destination"),
-            F.coalesce("arrived", F.col("m_to") == F.col("m_destination")).alias("arrived"), F.when(better, F.col("m.d")).otherwise(F.col("d")).alias("d"),
-            F.when(better, F.col("m.prev")).otherwise(F.col("prev")).alias("prev"), better.alias("fresh"),
-        ))
-    arrived = state.filter("arrived").groupBy("od_id").agg(F.min(F.struct("d", "edge")).alias("a"))
+    ``(answers, tree)``: per pair its status, last edge and total, and the predecessor of every edge on its route (see ``reconstruct``).
+
+    The turn graph is contracted first (``arcs`` of an earlier ``contract`` may be given). From the destination the search goes back over arcs to lower
+    levels only, from the origin on over arcs to higher levels and through the core; a route is where both meet. So rounds are the levels and the hops
+    within the core, not the hops of the route. Shortcuts are unpacked on the routes found. Raises if a search isn't settled after ``max_rounds``."""
+    arcs = contract(edges, successors, cost) if arcs is None else arcs
+    e = edges.select("area_id", F.col("segment_id").alias("state"), "from_node", "to_node", F.col(cost).alias("c"))
+    asked = od.filter("origin <> destination").select("od_id", "area_id", "origin", "destination")
+    start = asked.join(e.withColumnRenamed("from_node", "origin"), ["area_id", "origin"]).select("od_id", "area_id", "state", F.col("c").alias("d"))
+    end = asked.join(e.withColumnRenamed("to_node", "destination"), ["area_id", "destination"]).select("od_id", "area_id", "state", F.lit(0.0).alias("d"))
+    down = arcs.filter("lu > lw").select("area_id", F.col("w").alias("state"), F.col("u").alias("next"), "c")
+    up = arcs.filter(f"lw > lu OR (lu = {CORE} AND lw = {CORE})").select("area_id", F.col("u").alias("state"), F.col("w").alias("next"), "c")
+    back = settle(_spread(end, down, max_rounds))
+    forth = settle(_spread(start, up, max_rounds, back.select("od_id", "area_id", "state", F.col("d").alias("rest"))))
+    met = settle(forth.filter("total IS NOT NULL").groupBy("od_id").agg(F.min(F.struct("total", "state")).alias("m")).select("od_id", "m.*"))
+
     same = F.col("origin") == F.col("destination")
-    answers = od.join(arrived, "od_id", "left").select(
-        "od_id", "area_id", "origin", "destination", F.when(same | F.col("a").isNotNull(), "ok").otherwise("no_route").alias("status"),
-        F.when(same, F.lit(0.0)).otherwise(F.col("a.d")).alias("total_m"), F.col("a.edge").alias("last_edge"),
+    after = settle(_chain(met, back)) if with_tree else None
+    last = after.filter("prev IS NULL").select("od_id", F.col("state").alias("last_edge")) if with_tree else met.select("od_id", F.lit(None).cast("string").alias("last_edge"))
+    answers = od.join(met, "od_id", "left").join(last, "od_id", "left").select(
+        "od_id", "area_id", "origin", "destination", F.when(same | F.col("total").isNotNull(), "ok").otherwise("no_route").alias("status"),
+        F.when(same, F.lit(0.0)).otherwise(F.col("total")).alias("total_m"), "last_edge",
     )
-    return answers, state.select("od_id", "edge", "d", "prev")
+    if not with_tree:
+        return answers.drop("last_edge"), None
+    before = settle(_chain(met, forth))
+    todo = before.filter("prev IS NOT NULL").select("od_id", "area_id", F.col("prev").alias("u"), F.col("state").alias("w"))
+    todo = todo.unionByName(after.filter("prev IS NOT NULL").select("od_id", "area_id", F.col("state").alias("u"), F.col("prev").alias("w")))
+    tree = before.filter("prev IS NULL").select("od_id", F.col("state").alias("edge"), F.lit(None).cast("string").alias("prev"))
+    while True:
+        # A shortcut is the two arcs by way of the state it skips; each of them is of an earlier round.
+        parts = settle(todo.join(arcs.select("area_id", "u", "w", "mid"), ["area_id", "u", "w"]))
+        tree = tree.unionByName(parts.filter("mid IS NULL").select("od_id", F.col("w").alias("edge"), F.col("u").alias("prev")))
+        short = parts.filter("mid IS NOT NULL")
+        if short.isEmpty():
+            return answers, tree
+        todo = short.select("od_id", "area_id", "u", F.col("mid").alias("w")).unionByName(short.select("od_id", "area_id", F.col("mid").alias("u"), "w"))
 
 
 def reconstruct(answers: DataFrame, tree: DataFrame) -> DataFrame:

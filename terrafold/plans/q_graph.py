@@ -180,7 +180,7 @@ ROUTES = APPLIED.replace("wr AS", "RECURSIVE wr AS", 1) + f", {OD_SQL}" + """,
 )
 def turn_aware_routes(v: Views):
     i = Imported(v)
-    answers, _ = graph.shortest_paths(i.segments, i.turns.filter("allowed"), od_pairs(v))
+    answers, _ = graph.shortest_paths(i.segments, i.turns.filter("allowed"), od_pairs(v), with_tree=False)
     return answers.select("od_id", "status", F.round("total_m", 3).alias("total_m"))
 
 
@@ -199,6 +199,34 @@ def route_lines(v: Views):
     )
 
 
+# A street of one piece per customer and region, driven both ways, with turning round allowed everywhere: routes from end to end, back, from the middle, and
+# to a node that isn't there.
+@query(
+    "long_routes",
+    f"""WITH v AS ({VERTICES.format(poi='poi_v')}), e AS (SELECT a.area_id, a.i, a.n, {o.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM v a JOIN v b ON a.area_id = b.area_id AND b.i = a.i + 1),
+        t AS (SELECT area_id, sum(d) AS d, sum(d) FILTER (i >= n // 2) AS half, count(*) AS hops, count(*) FILTER (i >= n // 2) AS half_hops FROM e GROUP BY area_id)
+        SELECT concat('on-', area_id) AS od_id, 'ok' AS status, {o.rn('d', 3)} AS total_m, hops FROM t UNION ALL SELECT concat('back-', area_id), 'ok', {o.rn('d', 3)}, hops FROM t
+        UNION ALL SELECT concat('half-', area_id), 'ok', {o.rn('half', 3)}, half_hops FROM t UNION ALL SELECT concat('none-', area_id), 'no_route', NULL, 0 FROM t""",
+    ["poi"],
+)
+def long_routes(v: Views):
+    vertex = settle(v.spark.sql(VERTICES.format(poi="{poi}"), poi=v.poi))
+    after = vertex.select("area_id", (F.col("i") - 1).alias("i"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    e = vertex.join(after, ["area_id", "i"]).withColumn("distance_m", geo.haversine("lat", "lon", "lat2", "lon2"))
+    node = lambda i: F.concat(F.lit("v"), F.col("i") + i)
+    way = lambda name, a, b: e.select("area_id", F.concat(F.lit(name), "i").alias("segment_id"), node(a).alias("from_node"), node(b).alias("to_node"), "distance_m")
+    segments = settle(way("f", 0, 1).unionByName(way("r", 1, 0)))
+    turns = segments.select("area_id", F.col("segment_id").alias("incoming"), F.col("to_node").alias("node")).join(segments.select("area_id", F.col("segment_id").alias("outgoing"), F.col("from_node").alias("node")), ["area_id", "node"])
+    ends = vertex.groupBy("area_id").agg(F.max("n").alias("n"))
+    v_at = lambda i: F.concat(F.lit("v"), i.cast("string"))
+    first, last = v_at(F.lit(0)), v_at(F.col("n") - 1)
+    pair = lambda name, a, b: F.struct(F.concat(F.lit(f"{name}-"), "area_id").alias("od_id"), a.alias("origin"), b.alias("destination"))
+    od = ends.select("area_id", F.explode(F.array(pair("on", first, last), pair("back", last, first), pair("half", v_at(F.floor(F.col("n") / 2)), last), pair("none", first, F.lit("nowhere")))).alias("p")).select("area_id", "p.*")
+    answers, tree = graph.shortest_paths(segments, turns, od)
+    hops = graph.reconstruct(answers, tree).groupBy("od_id").agg(F.max("hop").alias("hops"))
+    return answers.join(hops, "od_id", "left").select("od_id", "status", F.round("total_m", 3).alias("total_m"), F.coalesce("hops", F.lit(0)).cast("bigint").alias("hops"))
+
+
 @query(
     "route_snaps",
     f"SELECT query_id, nearest_id, d > 25 AS far FROM (SELECT source_id AS query_id, arg_min(node_id, (round(d, 6), node_id)) AS nearest_id, min(d) AS d FROM (SELECT p.source_id, n.node_id, {o.hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS d FROM poi_v p, node_v n WHERE k2 = 0) t GROUP BY source_id) u".replace(" WHERE k2 = 0", ""),

