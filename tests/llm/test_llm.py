@@ -128,6 +128,22 @@ def test_substrings(saved, crowd):
     assert all((r.n_words, r.n_removed, r.kept_sha256) in want[r.doc_id] for r in out)
 
 
+def test_substrings_of_rows_without_a_name_of_their_own(saved):
+    """What one of several rows repeats is taken from that row alone: rows without an id, and texts of one id; a real id may be the largest number."""
+    passage, top = prose(11, 40), 2**63 - 1
+    rows = [(1, passage), (None, f"{prose(1, 30)} {passage}"), (None, prose(2, 90)), (None, prose(3, 25)), (7, f"{passage} {prose(4, 40)}"), (7, prose(5, 90)), (7, prose(5, 90)), (top, prose(6, 50)), (None, prose(6, 50))]
+    out = substrings.without_repeats(saved(rows), 20).collect()
+    assert len(out) == len(rows)
+    gone = {}
+    for r in out:
+        gone.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
+    assert gone[1] == [(40, 0)]
+    assert sorted(gone[7]) == [(80, 40), (90, 0), (90, 0)]
+    # The last passage stands at the largest real id and without an id: one of the two goes.
+    twin = gone[top][0][1] + next(n for w, n in gone[None] if w == 50)
+    assert twin == 50 and sorted(x for x in gone[None] if x[0] != 50) == [(25, 0), (70, 40), (90, 0)]
+
+
 def test_substrings_empty(saved):
     assert substrings.without_repeats(saved([])).count() == 0
 
