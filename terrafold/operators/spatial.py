@@ -132,6 +132,8 @@ def nearest(queries: DataFrame, targets: DataFrame, target_id: str, on: str | No
     ``queries`` has ``query_id, q_lat, q_lon``. Targets are points (``lat, lon``) or, with ``shape``, lines in that
     column. The search disc starts at ``start_m`` and grows eightfold for unresolved queries only; a hit counts once
     it lies within the searched radius, so nothing nearer can be missed. It goes on until the radius reaches around the globe."""
+    if start_m <= 0:
+        raise ValueError(f"the first radius must be positive, got {start_m}")
     radius, pending, found = start_m, queries, None
     keep = queries.columns
     while True:
