@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -321,19 +322,75 @@ def test_quality(saved):
     assert quality.judged(saved([])).count() == 0
 
 
-def test_bands_reject_outliers_only(spark):
+def test_bands_come_from_the_distribution(spark):
     nats = [1.5 + 0.001 * (i % 40) for i in range(400)] + [3.2, 0.1]
-    bands = quality.language_bands(spark.createDataFrame([("en", x) for x in nats], "_lang string, _nats double")).collect()
-    assert len(bands) == 1 and abs(bands[0]["_median"] - np.median(nats)) < 2e-3
-    assert abs(bands[0]["_spread"] - np.median(np.abs(np.array(nats) - np.median(nats)))) < 3e-3
-
-
-def test_kneser_ney_sums_to_one():
+    (band,) = quality.language_bands(spark.createDataFrame([("en", x) for x in nats], "_lang string, _nats double")).collect()
+    assert abs(band["_median"] - np.median(nats)) < 2e-3
+    assert abs(band["_below"] - (np.median(nats) - np.quantile(nats, 0.05))) < 3e-3
+    assert abs(band["_above"] - (np.quantile(nats, 0.95) - np.median(nats))) < 3e-3
+
+
+def junk(kind, i):
+    rng = random.Random(i)
+    if kind == "numbers":
+        return " ".join(str(rng.randrange(10**6)) for _ in range(150))
+    if kind == "hex":
+        return " ".join(f"{rng.randrange(2**32):08x}" for _ in range(150))
+    if kind == "capitals":
+        return " ".join("".join(rng.choices(string.ascii_uppercase, k=rng.randint(2, 8))) for _ in range(150))
+    letters = list(prose(i, 150))
+    rng.shuffle(letters)
+    return "".join(letters)
+
+
+def test_perplexity_rejects_junk_and_leaves_clean_texts(spark):
+    kinds = ("numbers", "hex", "capitals", "letters")
+    rows = [(i, prose(i, 150)) for i in range(600)] + [(1000 + 10 * k + i, junk(kind, i)) for k, kind in enumerate(kinds) for i in range(4)]
+    # A language of its own per row must neither fail nor make a model each.
+    rows = [(i, t, "en") for i, t in rows] + [(5000 + i, prose(i, 150), f"x{i}") for i in range(100)] + [(6000, prose(3, 150), None)]
+    out = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    kept = {r.doc_id: r.kept for r in out}
+    assert sum(kept[i] for i in range(600)) >= 0.95 * 600
+    assert not any(r.base_failed for r in out)
+    for k in range(len(kinds)):
+        assert not any(kept[1000 + 10 * k + i] for i in range(4)), kinds[k]
+    assert all(kept[5000 + i] for i in range(100)) and kept[6000]
+
+
+def brute_kneser_ney(counts, alone):
+    """ln p of the last symbol of a tuple by the formula, from {tuple: count} of the highest order and the set of n-grams of one text."""
+    tables, lone = {quality.ORDER: counts}, {quality.ORDER: alone}
+    for k in range(quality.ORDER - 1, 0, -1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+        lone[k] = {g[1:] for g in lone[k + 1] if tables[k][g[1:]] == 1}
+    d = {k: quality.discounts(np.array(list(t.values()))) for k, t in tables.items()}
+
+    def p(g):
+        if not g:
+            return 1 / quality.N_SYMBOLS
+        k, off = len(g), lambda s, c: c if s in lone[len(s)] else d[len(s)][min(c, 3)]
+        beside = {s: c for s, c in tables[k].items() if s[:-1] == g[:-1]}
+        if not beside:
+            return p(g[1:])
+        own = tables[k].get(g, 0)
+        return ((own - off(g, own) if own else 0) + sum(off(s, c) for s, c in beside.items()) * p(g[1:])) / sum(beside.values())
+
+    return lambda g: np.log(p(g))
+
+
+def test_kneser_ney():
     code, _ = quality.codes([prose(4, 4000).encode()])
-    model = quality.kneser_ney(*np.unique(code, return_counts=True))
-    context = int(code[500]) >> 6
-    every = np.array([((context << 6) | s) & ((1 << 24) - 1) for s in range(64)], np.int32)
-    assert abs(np.exp(quality.log_probability(model, every)).sum() - 1) < 1e-3
+    grams, n = np.unique(code, return_counts=True)
+    alone = (n == 1) & (grams % 3 > 0)
+    model = quality.kneser_ney(grams, n, alone)
+    context = int(code[500]) >> 8
+    for head in (context, 0x20207700, 77):
+        every = np.array([((head << 8) | s) & ((1 << 32) - 1) for s in range(256)], np.uint32)
+        assert abs(np.exp(quality.log_probability(model, every)).sum() - 1) < 1e-3
+    unpack = lambda c: tuple((int(c) >> (8 * j)) & 255 for j in range(3, -1, -1))
+    want = brute_kneser_ney({unpack(c): int(k) for c, k in zip(grams, n, strict=True)}, {unpack(c) for c in grams[alone]})
+    some, _ = quality.codes([prose(5, 20).encode(), b"0AF3 9", "\u00e9\u4e2d".encode()])
+    assert np.allclose(quality.log_probability(model, some), [want(unpack(c)) for c in some], atol=1e-4)
 
 
 # -- op 8 -----------------------------------------------------------------------------------------
