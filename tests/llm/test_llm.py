@@ -359,30 +359,36 @@ def test_perplexity_rejects_junk_and_leaves_clean_texts(spark):
 
 def brute_kneser_ney(counts, alone):
     """ln p of the last symbol of a tuple by the formula, from {tuple: count} of the highest order and the set of n-grams of one text."""
-    tables, lone = {quality.ORDER: counts}, {quality.ORDER: alone}
+    tables, lone, d = {quality.ORDER: counts}, {quality.ORDER: alone}, {}
     for k in range(quality.ORDER - 1, 0, -1):
         tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
         lone[k] = {g[1:] for g in lone[k + 1] if tables[k][g[1:]] == 1}
-    d = {k: quality.discounts(np.array(list(t.values()))) for k, t in tables.items()}
+    for k, table in tables.items():
+        n = [sum(c == j for c in table.values()) for j in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d[k] = [min(j - 0.01, max(0.0, j - (j + 1) * y * n[j + 1] / n[j])) for j in (1, 2, 3)] if all(n[1:]) else [0.5, 0.75, 0.9]
 
     def p(g):
         if not g:
             return 1 / quality.N_SYMBOLS
-        k, off = len(g), lambda s, c: c if s in lone[len(s)] else d[len(s)][min(c, 3)]
-        beside = {s: c for s, c in tables[k].items() if s[:-1] == g[:-1]}
+        off = lambda s, c: c if s in lone[len(s)] else d[len(s)][min(c, 3) - 1]
+        beside = {s: c for s, c in tables[len(g)].items() if s[:-1] == g[:-1]}
         if not beside:
             return p(g[1:])
-        own = tables[k].get(g, 0)
+        own = tables[len(g)].get(g, 0)
         return ((own - off(g, own) if own else 0) + sum(off(s, c) for s, c in beside.items()) * p(g[1:])) / sum(beside.values())
 
     return lambda g: np.log(p(g))
 
 
-def test_kneser_ney():
+def test_kneser_ney(spark):
     code, _ = quality.codes([prose(4, 4000).encode()])
     grams, n = np.unique(code, return_counts=True)
     alone = (n == 1) & (grams % 3 > 0)
-    model = quality.kneser_ney(grams, n, alone)
+    rows = [(lang, int(g), int(c), 1 if a else 2) for lang in ("en", "") for g, c, a in zip(grams, n, alone, strict=True)]
+    by_lang = quality.models(spark.createDataFrame(rows, "lang string, code long, n long, texts long"))
+    assert sorted(by_lang) == ["", "en"] and all(np.array_equal(x, y) for a, b in zip(*by_lang.values(), strict=True) for x, y in zip(a, b, strict=True))
+    model = by_lang["en"]
     context = int(code[500]) >> 8
     for head in (context, 0x20207700, 77):
         every = np.array([((head << 8) | s) & ((1 << 32) - 1) for s in range(256)], np.uint32)
