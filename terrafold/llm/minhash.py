@@ -142,12 +142,13 @@ def unlinked(done: DataFrame, found: DataFrame, sets: DataFrame, share: int) ->
     outer = settle(outer.select("centre", "doc", "n", "both", "label", F.explode(F.array_except("x", "y")).alias("element")))
     often = outer.groupBy("centre", "element").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("f > 1").select("centre", "element", "f", F.expr("low < high").alias("across"))
     own = Window.partitionBy("centre", "doc")
-    # Elements that only this member has come first; they match nothing and are only counted.
-    ranked = outer.join(settle(often), ["centre", "element"]).withColumn("place", F.row_number().over(own.orderBy("f", "element")) + (F.col("n") - F.col("both")) - F.count(F.lit(1)).over(own))
+    # Elements that no member of another component has come first; they match nothing and are only counted.
+    common = outer.join(settle(often), ["centre", "element"]).withColumn("useful", F.count_if("across").over(own))
+    ranked = common.withColumn("place", F.row_number().over(own.orderBy("across", "f", "element")) + (F.col("n") - F.col("both")) - F.count(F.lit(1)).over(own))
     first = lambda least: f"place <= n - both - greatest(1, ceil({least}) - both) + 1"
-    looked = ranked.filter("across").filter(first(f"{share} * n / 100D")).withColumn("first", F.expr(first(f"{2 * share} * n / {100 + share}D"))).drop("f", "across", "place")
+    looked = ranked.filter("across").filter(f"100 * (both + useful) >= {share} * n").filter(first(f"{share} * n / 100D")).withColumn("first", F.expr(first(f"{2 * share} * n / {100 + share}D"))).drop("f", "across", "place")
     looked = settle(looked)
-    outside = side(looked.filter("first"), "x").join(side(looked, "y"), F.expr(f"x_centre = y_centre AND x_element = y_element AND {ordered} AND {need} <= {100 + share} * least(x_n - x_both, y_n - y_both)"))
+    outside = side(looked.filter("first"), "x").join(side(looked, "y"), F.expr(f"x_centre = y_centre AND x_element = y_element AND {ordered} AND {need} <= {100 + share} * least(x_useful, y_useful)"))
     pairs = [df.select(F.col("x_doc").alias("doc"), F.col("y_doc").alias("centre"), F.col("x_n").alias("n"), F.col("y_n").alias("cn")) for df in (inside, outside)]
     return settle(pairs[0].unionByName(pairs[1]).distinct())
 
