@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm import text as tx
+from terrafold.llm.decontamination import bitmap, hit
 from terrafold.operators.graph import connected_components
 from terrafold.session import settle
 
@@ -84,12 +85,25 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return tx.per_text(docs, "n_shingles long, fp binary, keys array<long>", columns)
 
 
-def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    def columns(batch: list[bytes]) -> list:
-        sets = shingle_sets(batch, k)
-        return [tx.lists(tx.signed(np.concatenate([*sets, np.zeros(0, np.uint64)])), np.cumsum([len(s) for s in sets]))]
+def sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """``id, hashes``: the sets of the documents ``wanted`` (``doc_id``), one row per distinct set.
+
+    Tasks skip other documents by a bitmap of at most 16 MB before they hash them, so whole texts are never shuffled; what it
+    lets through by chance, the join drops."""
+    table = bitmap(wanted.select(F.lit(0).alias("k"), F.xxhash64("doc_id").alias("shingle"))).get(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            here = hit(table, batch.column("place").to_numpy().view(np.uint64))
+            for part, rows in tx.runs(iter([batch.filter(pa.array(here))])):
+                sets = shingle_sets(rows, k)
+                flat = tx.signed(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), tx.lists(flat, np.cumsum([len(s) for s in sets]))], names=["id", "hashes"])
 
-    return tx.per_text(docs, "hashes array<long>", columns).withColumnRenamed("doc_id", "id")
+    if table is None:
+        return docs.sparkSession.createDataFrame([], "id long, hashes array<long>")
+    named = tx.two(docs).filter("doc_id IS NOT NULL").withColumn("place", F.xxhash64("doc_id"))
+    return named.mapInArrow(run, "id long, hashes array<long>").join(wanted.withColumnRenamed("doc_id", "id"), "id", "left_semi").distinct()
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -107,7 +121,7 @@ def links(reps: DataFrame, docs: DataFrame, k: int, share: int) -> DataFrame:
     shared = buckets.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).filter("centre < last").drop("last")
     stars = settle(buckets.join(shared, "bucket").filter("doc <> centre").select("doc", "centre", "n").distinct())
     wanted = stars.select(F.col("doc").alias("doc_id")).unionByName(stars.select(F.col("centre").alias("doc_id"))).distinct()
-    sets = settle(sets_of(tx.two(docs).join(wanted, "doc_id", "left_semi"), k).distinct())
+    sets = settle(sets_of(docs, k, settle(wanted)))
     sizes = reps.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("cn"))
     done = settle(measured(stars.join(sizes, "centre"), sets))
     found = _near(done, share)
@@ -165,9 +179,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: int = 80, ba
     give no rows."""
     sig = settle(signatures(docs, shingle_words, bands, rows))
     named = sig.filter("doc_id IS NOT NULL AND fp IS NOT NULL")
-    classes = settle(named.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    reps = named.join(classes, "fp").filter("doc_id = rep").select("doc_id", "n_shingles", "keys").dropDuplicates(["doc_id", "n_shingles", "keys"])
-    edges = settle(links(settle(reps), docs, shingle_words, share))
+    # Equal sets have equal sizes and keys.
+    classes = settle(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")))
+    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "keys")
+    classes = classes.select("fp", "rep")
+    edges = settle(links(reps, docs, shingle_words, share))
     # A repeated doc_id with different texts belongs to several classes; that links them.
     repeated = named.join(classes, "fp").filter("doc_id <> rep").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     edges = edges.unionByName(repeated)
