@@ -16,9 +16,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from terrafold.llm import text as tx
 from terrafold.llm.pieces import MEMORY, pieces
@@ -68,9 +70,20 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def narrowed(ids: bytes) -> bytes:
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else ids
+
+
+@F.pandas_udf(BinaryType())
+def widened(ids: pd.Series, length: pd.Series) -> pd.Series:
+    """32-bit integers again; the number of ids tells which they were."""
+    return pd.Series([x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(ids, length, strict=True)])
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_ids: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if wanted, ``ids``: each text's ids and ``end_id``, cut into pieces of ``size``, the
-    first of which may be shorter."""
+    first of which may be shorter. Ids travel as 16-bit integers where all of a piece fit (``widened`` undoes it)."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * with_ids)]
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
@@ -85,7 +98,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_ids:
                 while start < n:
                     end = start + (((n - start - 1) % size) + 1)
                     part = ids[4 * start : 4 * end]
-                    out.append((doc, k, start, end - start, zlib.crc32(part), part)[: len(names)])
+                    out.append((doc, k, start, end - start, zlib.crc32(part), narrowed(part) if with_ids else None)[: len(names)])
                     start, k = end, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)], names=names)
 
@@ -193,7 +206,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, w
     ``doc_id`` is packed like any other; repeated rows are packed each; other columns are not read. No rows give no rows."""
     spark = docs.sparkSession
     table = settle(tokenized(docs, tokenizer, end_id, size, with_ids))
-    ids = ["ids"] * with_ids
+    ids = [widened("ids", "length").alias("ids")] * with_ids
     # At most `size` rows.
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -433,6 +433,18 @@ def test_packing(saved):
         assert at <= 256
     assert len(sequences) <= 1.02 * sum(r.length for r in out) / 256 + 1
     assert packing.packed(saved([]), tokenizer).count() == 0
+    carried = packing.packed(saved(rows), tokenizer, 0, 256, with_ids=True).collect()
+    assert len(carried) == len(out)
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in carried)
+
+
+def test_narrow_ids(spark):
+    for ids in ([0], [65535, 1, 2], [65536, 1], [1, 2, 99_000]):
+        whole = np.array(ids, "<u4").tobytes()
+        short = packing.narrowed(whole)
+        assert len(short) == (2 if max(ids) < 65536 else 4) * len(ids)
+        row = spark.createDataFrame([(short, len(ids))], "ids binary, length long").select(packing.widened("ids", "length").alias("ids")).first()
+        assert row.ids == whole
 
 
 # -- op 9 -----------------------------------------------------------------------------------------
