@@ -27,6 +27,14 @@ def parse_payloads(df: DataFrame, column: str = "payload") -> DataFrame:
     return df.withColumn("_p", parsed).select("area_id", "_p.remark", "_p.elements")
 
 
+def newest_payloads(payloads: DataFrame) -> DataFrame:
+    """Of several payloads of an area the one that ``arrived`` last (ties: the last ``file`` by name). Payloads without these columns stay as they are."""
+    if not {"arrived", "file"} <= set(payloads.columns):
+        return payloads
+    last = payloads.groupBy("area_id").agg(F.max(F.struct("arrived", "file")).alias("_last"))
+    return payloads.join(last, "area_id").filter(F.struct("arrived", "file") == F.col("_last")).drop("_last")
+
+
 def complete_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(complete, rejected): a payload with any remark is an incomplete answer and is set aside whole."""
     incomplete = F.coalesce(F.trim("remark") != "", F.lit(False)) | F.col("elements").isNull()
@@ -82,4 +90,4 @@ def newest_first(areas: DataFrame, status: str | None = None, limit: int = 50, b
     return out.orderBy(F.coalesce("imported_day", "created_day").desc(), "area_id").limit(limit)
 
 
-__all__ = ["read_osm", "parse_payloads", "complete_payloads", "explode_elements", "split_elements", "fill_way_nodes", "newest_first"]
+__all__ = ["read_osm", "parse_payloads", "newest_payloads", "complete_payloads", "explode_elements", "split_elements", "fill_way_nodes", "newest_first"]

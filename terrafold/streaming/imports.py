@@ -8,13 +8,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from terrafold.functions import rules
 from terrafold.operators import ingest
-from terrafold.sources import layers, osm
+from terrafold.operators.imports import import_run
+from terrafold.session import settle
+from terrafold.sources import layers, osm, versions
 
 
 def payload_stream(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Payload files as they arrive; the area is the file's name."""
     raw = spark.readStream.schema(osm.PAYLOAD).option("multiLine", multi_line).json(path)
-    return raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("area_id"), "remark", "elements")
+    area = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("area_id")
+    return raw.select(area, "remark", "elements", F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_path").alias("file"))
 
 
 def stage_counts(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -32,7 +35,7 @@ def start_import(payloads: DataFrame, out: str, checkpoint: str) -> StreamingQue
     area as it was. Stage counts are written per batch id for the same reason."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        complete, rejected = osm.complete_payloads(batch)
+        complete, rejected = osm.complete_payloads(osm.newest_payloads(batch))
         parts = osm.split_elements(osm.explode_elements(complete))
         nodes = osm.fill_way_nodes(parts["nodes"], parts["ways"])
         buildings = ingest.resolve_geometry(ingest.buildings(ingest.classify_ways(parts["ways"])), nodes)
@@ -44,6 +47,17 @@ def start_import(payloads: DataFrame, out: str, checkpoint: str) -> StreamingQue
     return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def start_import_run(payloads: DataFrame, root: str, checkpoint: str, name: str) -> StreamingQuery:
+    """Each batch is one ``import_run`` over all layers: the newest payload of an area wins, one with a problem is rejected whole, and a replayed
+    batch changes nothing. Its report goes to ``<root>/reports``. ``name`` tells the changes of this stream from others of the same root."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        report = import_run(batch, root, f"{name}/{batch_id}").withColumn("batch_id", F.lit(batch_id))
+        report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root}/reports")
+
+    return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def newest_feedback(feedback: DataFrame) -> DataFrame:
     """The newest valid feedback per block. ``max_by`` combines map-side."""
     ok = feedback.filter(rules.feedback_problem("building_count", "no_buildings").isNull())
@@ -54,3 +68,18 @@ def newest_feedback(feedback: DataFrame) -> DataFrame:
 def start_feedback(events: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
     """Keeps the newest feedback per block as a streaming aggregate in a named in-memory table (complete mode)."""
     return newest_feedback(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_feedback_table(events: DataFrame, root: str, checkpoint: str, name: str) -> StreamingQuery:
+    """Keeps the newest feedback per block in the table ``feedback`` under ``root`` (``versions.read(spark, root, "feedback", "block_id")``). A batch reads and
+    rewrites only the blocks it brings; nothing is held in memory between batches."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        came = settle(newest_feedback(batch))
+        blocks = came.select("block_id")
+        if not versions.log(spark, root).isEmpty():
+            came = settle(newest_feedback(versions.read(spark, root, "feedback", "block_id", blocks).unionByName(came)))
+        versions.change(root, f"{name}/{batch_id}", {"feedback": came}, blocks, "block_id")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
