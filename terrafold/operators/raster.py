@@ -85,7 +85,9 @@ def resample(points: DataFrame, pixels: DataFrame) -> DataFrame:
     corner = lambda dx, dy, w: F.struct(clamp(x0 + dx).cast("bigint").alias("px"), clamp(y0 + dy).cast("bigint").alias("py"), w.alias("w"))
     four = F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)), corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy))
     flat = at.select(*points.columns, F.explode(four).alias("c")).select(*points.columns, "c.px", "c.py", "c.w")
-    j = flat.join(pixels.select(F.col("px").cast("bigint").alias("px"), F.col("py").cast("bigint").alias("py"), "height"), ["px", "py"], "left")
+    # Pixels are as many as points or more, which Spark's size estimate of exploded rows doesn't see: never sent whole to every task.
+    found = pixels.select(F.col("px").cast("bigint").alias("px"), F.col("py").cast("bigint").alias("py"), "height").hint("merge")
+    j = flat.join(found, ["px", "py"], "left")
     # Each point has four corners; equal points are counted and come out as often as they went in.
     g = j.groupBy(*points.columns).agg(F.sum(F.col("w") * F.coalesce("height", F.lit(0.0))).alias("_sum"), (F.count(F.lit(1)) / 4).cast("int").alias("_same"))
     return g.withColumn("height", F.col("_sum") / F.col("_same")).withColumn("_k", F.explode(F.sequence(F.lit(1), "_same"))).drop("_sum", "_same", "_k")

@@ -3,7 +3,7 @@
 import math
 import random
 
-from terrafold.operators import blocks
+from terrafold.operators import blocks, raster
 from terrafold.plans.views import Views
 
 SAMPLE = "block_id string, ring_index int, idx int, x double, y double, nx double, ny double"
@@ -68,3 +68,10 @@ def test_views_deal_the_rows_of_a_small_file_to_many_tasks(spark, tmp_path):
     spark.range(1000).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey", "'X' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     v = Views(spark, str(tmp_path))
     assert v.plot.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and v.plot.count() == 1000
+
+
+def test_resample_sends_no_pixel_table_whole(spark):
+    points = spark.range(50).selectExpr("concat('p', id) AS node_id", "10.0 + id * 1e-5 AS lat", "20.0 + id * 1e-5 AS lon")
+    pixels = spark.range(10).selectExpr("explode(sequence(0, 100)) AS px", "id AS py", "1.0D AS height")
+    out = raster.resample(points, pixels)
+    assert "Broadcast" not in plan(out) and out.count() == 50
