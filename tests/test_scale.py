@@ -3,7 +3,7 @@
 import math
 import random
 
-from terrafold.operators import blocks, raster
+from terrafold.operators import blocks, raster, spatial
 from terrafold.plans.views import Views
 
 SAMPLE = "block_id string, ring_index int, idx int, x double, y double, nx double, ny double"
@@ -75,3 +75,12 @@ def test_resample_sends_no_pixel_table_whole(spark):
     pixels = spark.range(10).selectExpr("explode(sequence(0, 100)) AS px", "id AS py", "1.0D AS height")
     out = raster.resample(points, pixels)
     assert "Broadcast" not in plan(out) and out.count() == 50
+
+
+def test_nearest_widens_its_search_by_doubling(spark, monkeypatch):
+    radii, one_round = [], spatial._nearest_round
+    monkeypatch.setattr(spatial, "_nearest_round", lambda *a: radii.append(a[4]) or one_round(*a))
+    q = spark.createDataFrame([("near", 10.0, 20.0), ("far", 10.0, 20.004)], "query_id string, q_lat double, q_lon double")
+    t = spark.createDataFrame([("a", 10.001, 20.0)], "id string, lat double, lon double")
+    got = {r.query_id: round(r.distance_m) for r in spatial.nearest(q, t, "id").collect()}
+    assert radii == [250.0, 500.0] and got == {"near": 111, "far": 452}
