@@ -5,6 +5,8 @@ plans stay short and a lost executor only repeats one round."""
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -244,24 +246,69 @@ def assemble_rings(pieces: DataFrame) -> DataFrame:
 SPARE = 3
 #: Tables of improvements that are put together when there are more: each costs every round a scan.
 PARTS = 4
+#: An area of at most so many arcs is contracted by one task.
+SMALL = 200_000
 #: Level of states that were not contracted.
 CORE = 1 << 30
 
 
-def contract(edges: DataFrame, successors: DataFrame, cost: str = "distance_m", least_share: float = 0.15, max_rounds: int = 14) -> DataFrame:
+def _contract_small(arcs: pd.DataFrame, least_share: float, level: int) -> pd.DataFrame:
+    """The rounds of ``contract`` on one small area: its arcs with their ``mid``, and a row without ``w`` for every state that went in round ``level``."""
+    out: dict[str, dict[str, tuple]] = {}
+    into: dict[str, set[str]] = {}
+    for u, w, c, mid in zip(arcs.u, arcs.w, arcs.c, arcs.mid, strict=True):
+        out.setdefault(u, {})[w] = (c, mid)
+        out.setdefault(w, {})
+        into.setdefault(w, set()).add(u)
+        into.setdefault(u, set())
+    rows, order, rng = [], sorted(out), random.Random(level)
+    while order:
+        rng.shuffle(order)
+        chosen, beaten = [], set()
+        for s in order:
+            i, o = len(into[s]), len(out[s])
+            if s not in beaten and i * o <= i + o + SPARE:
+                chosen.append(s)
+                beaten.update(into[s], out[s])
+        if len(chosen) < max(1.0, least_share * len(order)):
+            break
+        for s in chosen:
+            before, after = [(u, *out[u].pop(s)) for u in into.pop(s)], out.pop(s)
+            rows += [(u, s, c, mid, None) for u, c, mid in before] + [(s, w, c, mid, None) for w, (c, mid) in after.items()]
+            rows.append((s, None, None, None, level))
+            for w, (c2, _) in after.items():
+                into[w].remove(s)
+                for u, c1, _ in before:
+                    if u != w and (w not in out[u] or (c1 + c2, s) < (out[u][w][0], out[u][w][1] or "")):
+                        out[u][w] = (c1 + c2, s)
+                        into[w].add(u)
+        went = set(chosen)
+        order = [s for s in order if s not in went]
+        level += 1
+    rows += [(u, w, c, mid, None) for u, to in out.items() for w, (c, mid) in to.items()]
+    return pd.DataFrame(rows, columns=["u", "w", "c", "mid", "level"]).astype({"c": "float64", "level": "Int32"}).assign(area_id=arcs.area_id.iloc[0])
+
+
+def contract(edges: DataFrame, successors: DataFrame, cost: str = "distance_m", least_share: float = 0.15, max_rounds: int = 200, small: int = SMALL) -> DataFrame:
     """The turn graph with shortcuts over its simple states: ``area_id, u, w, c, mid, lu, lw``.
 
     A state is a directed edge just taken; an arc ``u -> w`` costs what ``w`` costs. A round takes out states whose shortcuts are hardly more than the arcs they
     replace (streets without a choice, with or without turning round) and of which no two are neighbours: for every way through such a state one shortcut
     remembers it as ``mid``. A street of n states shrinks by about a quarter per round. ``lu`` and ``lw`` are the rounds in which the ends went, ``CORE`` for those left.
     It ends when a round takes out less than ``least_share`` of the states, or after ``max_rounds``: a core of few hops is searched faster than contracted.
+    Once no area has more than ``small`` arcs, every area goes through its further rounds in a task of its own, since a round of joins takes seconds however little is left.
     The result serves any origins and destinations."""
     cost_of = edges.select("area_id", F.col("segment_id").alias("w"), F.col(cost).alias("c"))
     arcs = successors.select("area_id", F.col("incoming").alias("u"), F.col("outgoing").alias("w")).filter("u <> w").join(cost_of, ["area_id", "w"])
     active = settle(arcs.groupBy("area_id", "u", "w").agg(F.min("c").alias("c")).withColumn("mid", F.lit(None).cast("string")))
     gone, levels, states = [], [], None
     ends = lambda df: df.select("area_id", F.col("u").alias("state"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(df.select("area_id", F.col("w").alias("state"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    small_enough = (F.count("*") <= small) & ~F.max(F.col("c").isNull() | F.isnan("c"))
+    whole = lambda: settle(active.groupBy("area_id").agg(small_enough.alias("ok")))
+    sizes = whole()
     for turn in range(max_rounds):
+        if sizes.filter("NOT ok").isEmpty():
+            break
         degree = ends(active).groupBy("area_id", "state").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
         # The first of its simple neighbours, in a new random order every round.
         simple = degree.filter(F.col("i") * F.col("o") <= F.col("i") + F.col("o") + SPARE).select("area_id", "state", F.struct(F.xxhash64("state", F.lit(turn)).alias("h"), "state").alias("rank"))
@@ -283,13 +330,18 @@ def contract(edges: DataFrame, successors: DataFrame, cost: str = "distance_m",
         active = settle(rest.unionByName(short).groupBy("area_id", "u", "w").agg(F.min(F.struct("c", "mid")).alias("m")).select("area_id", "u", "w", "m.c", "m.mid"))
         gone.append(told.filter("gu OR gw").select("area_id", "u", "w", "c", "mid"))
         levels.append(chosen.withColumn("level", F.lit(turn)))
+        sizes = whole()
+    alone = active.join(sizes.filter("ok"), "area_id", "left_semi")
+    first = len(levels)
+    finish = lambda arcs: _contract_small(arcs, least_share, first)
+    done = settle(alone.groupBy("area_id").applyInPandas(finish, "area_id string, u string, w string, c double, mid string, level int"))
+    active = active.join(sizes.filter("ok"), "area_id", "left_anti").unionByName(done.filter("w IS NOT NULL").drop("level"))
+    levels.append(done.filter("w IS NULL").select("area_id", F.col("u").alias("state"), "level"))
     for g in gone:
         active = active.unionByName(g)
-    level = None
-    for x in levels:
-        level = x if level is None else level.unionByName(x)
-    if level is None:
-        return active.withColumn("lu", F.lit(CORE)).withColumn("lw", F.lit(CORE))
+    level = levels[0]
+    for x in levels[1:]:
+        level = level.unionByName(x)
     at = lambda end: level.select("area_id", F.col("state").alias(end), F.col("level").alias(f"l{end}"))
     both = active.join(at("u"), ["area_id", "u"], "left").join(at("w"), ["area_id", "w"], "left")
     return settle(both.select("area_id", "u", "w", "c", "mid", F.coalesce("lu", F.lit(CORE)).alias("lu"), F.coalesce("lw", F.lit(CORE)).alias("lw")))

@@ -24,9 +24,9 @@ def dijkstra(cost, turns, starts, ends):
     return None
 
 
-@pytest.mark.parametrize("least_share", [0.0, 0.15, 2.0])
-def test_random_networks(spark, least_share):
-    """Chains, dead ends, loops, a lattice and forbidden turns; with all contracted that can be, with some, and with nothing."""
+@pytest.mark.parametrize("least_share, small", [(0.0, graph.SMALL), (0.15, graph.SMALL), (2.0, graph.SMALL), (0.15, 100)])
+def test_random_networks(spark, least_share, small):
+    """Chains, dead ends, loops, a lattice and forbidden turns; with all contracted that can be, with some, and with nothing; by tasks, or by joins first."""
     rng = random.Random(5)
     segments, turns = [], []
     for area in "AB":
@@ -44,7 +44,7 @@ def test_random_networks(spark, least_share):
     e = spark.createDataFrame(segments, "area_id string, segment_id string, from_node string, to_node string, distance_m double")
     t = spark.createDataFrame(turns, "area_id string, incoming string, outgoing string")
     o = spark.createDataFrame(od, "od_id string, area_id string, origin string, destination string")
-    arcs = graph.contract(e, t, least_share=least_share)
+    arcs = graph.contract(e, t, least_share=least_share, small=small)
     contracted = arcs.filter("mid IS NOT NULL").count()
     assert (contracted > 0) == (least_share < 1)
     answers, tree = graph.shortest_paths(e, t, o, arcs=arcs)
@@ -68,3 +68,14 @@ def test_random_networks(spark, least_share):
             assert all(y in allowed[x] for x, y in zip(route, route[1:], strict=False))
         else:
             assert i not in hops
+
+
+def test_long_street_is_contracted_to_its_end(spark):
+    """A street driven both ways leaves a core of few states however long it is (a bound on the rounds left some hundred of these)."""
+    n = 3000
+    segments = [("A", f"{d}{i}", f"v{i + (d == 'r')}", f"v{i + (d == 'f')}", 1.0) for i in range(n) for d in "fr"]
+    e = spark.createDataFrame(segments, "area_id string, segment_id string, from_node string, to_node string, distance_m double")
+    t = e.selectExpr("area_id", "segment_id AS incoming", "to_node AS node").join(e.selectExpr("area_id", "segment_id AS outgoing", "from_node AS node"), ["area_id", "node"])
+    arcs = graph.contract(e, t)
+    core = arcs.filter(f"lu = {graph.CORE}").select("u").union(arcs.filter(f"lw = {graph.CORE}").select("w")).distinct().count()
+    assert core <= 60
