@@ -2,14 +2,23 @@
 
 import math
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from terrafold.operators import blocks, raster, spatial
 from terrafold.plans.views import Views
+from terrafold.session import settle
 
 SAMPLE = "block_id string, ring_index int, idx int, x double, y double, nx double, ny double"
 FOOT = "block_id string, building_id string, ring array<struct<x:double,y:double>>"
 
 
+def meters(lat1, lon1, lat2, lon2):
+    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6_371_000 * math.asin(math.sqrt(a))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -84,3 +93,58 @@ def test_nearest_widens_its_search_by_doubling(spark, monkeypatch):
     t = spark.createDataFrame([("a", 10.001, 20.0)], "id string, lat double, lon double")
     got = {r.query_id: round(r.distance_m) for r in spatial.nearest(q, t, "id").collect()}
     assert radii == [250.0, 500.0] and got == {"near": 111, "far": 452}
+
+
+def test_references_are_the_best_of_all_pairs(spark):
+    """Blocks in one place, odd attributes and repeated ids among them, against brute force."""
+    rng = random.Random(11)
+    kinds, areas = ["local", "arterial", None], [0.5, 900.0, 900.0, 1200.0, 70_000.0, 0.0, -3.0, None]
+
+    def block(i):
+        return (f"b{i % 190}" if i else None, 10 + rng.choice([0.0, 1e-5, rng.uniform(0, 0.008)]), 20 + rng.uniform(0, 0.006) if i % 9 else None, rng.choice(kinds), rng.choice([*areas, rng.uniform(500, 4000)]), rng.choice(kinds))
+
+    rows = [block(i) for i in range(200)]
+    # An area of 0 divides only among the subjects.
+    held = [r for r in rows[::3] if r[4] != 0.0]
+    schema = "block_id string, lat double, lon double, road_group string, area_m2 double, style string"
+    got = blocks.match_references(spark.createDataFrame(rows, schema), spark.createDataFrame(held, schema)).collect()
+    best: dict = {}
+    for s in rows:
+        for e in held:
+            if s[0] is None or None in (s[2], e[2]):
+                continue
+            d = meters(s[1], s[2], e[1], e[2])
+            if d > 500:
+                continue
+            ratio = None if None in (s[4], e[4]) or s[4] / e[4] <= 0 else abs(math.log(s[4] / e[4]))
+            score = None if ratio is None else d / 500 + (s[3] is None or s[3] != e[3]) + ratio + (s[5] is None or s[5] != e[5])
+            score = -1.0 if s[0] == e[0] else score
+            # Missing scores and ids come first, as SQL orders them.
+            rank = (score is not None, round(score or 0.0, 9), e[0] is not None, e[0] or "")
+            if s[0] not in best or rank < best[s[0]][0]:
+                best[s[0]] = (rank, e[0], None if score is None or score < 0 else score)
+    assert len(got) == len(rows)
+    for r in got:
+        _, reference, score = best.get(r.block_id, (None, None, None))
+        assert r.reference_id == reference, r
+        assert (r.score is None) == (score is None) and (score is None or abs(r.score - score) < 1e-7), r
+
+
+def test_many_different_blocks_in_one_place_find_their_reference(spark):
+    """800 million pairs within the radius: comparing all of them took minutes."""
+    n = 40_000
+    at = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) / 1e6
+    rows = spark.range(n).select(F.concat(F.lit("b"), "id").alias("block_id"), (10 + at(1) * 0.003).alias("lat"), (20 + at(2) * 0.003).alias("lon"), F.element_at(F.array(F.lit("local"), F.lit("arterial")), (F.col("id") % 2 + 1).cast("int")).alias("road_group"),
+                                 (1000 + 3000 * at(3)).alias("area_m2"), F.lit("regular").alias("style"), "id")
+    rows = settle(rows)
+    started = time.time()
+    got = {r.block_id: r.reference_id for r in blocks.match_references(rows, rows.filter("id % 2 = 0 OR id % 4 = 1")).collect()}
+    assert time.time() - started < 90
+    assert len(got) == n and all(got[f"b{i}"] == f"b{i}" for i in range(0, n, 2))
+    table = rows.toPandas().set_index("id")
+    held = table[(table.index % 2 == 0) | (table.index % 4 == 1)]
+    for i in range(3, 400, 40):
+        s = table.loc[i]
+        d = [meters(s.lat, s.lon, a, b) for a, b in zip(held.lat, held.lon, strict=True)]
+        score = [x / 500 + (g != s.road_group) + abs(math.log(s.area_m2 / m)) for x, g, m in zip(d, held.road_group, held.area_m2, strict=True)]
+        assert got[f"b{i}"] == held.block_id.iloc[min(range(len(score)), key=score.__getitem__)]
