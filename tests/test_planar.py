@@ -5,11 +5,13 @@ import math
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.operators import clip, locate, planar
+from terrafold.operators import clip, lists, locate, planar
 from terrafold.session import settle
 from terrafold.sources import geojson
 
@@ -201,3 +203,37 @@ def test_points_and_composition_in_clip_mode(spark):
     scopes = clip.scopes_of(areas, spark.createDataFrame([("s", "A", pts(scaled(U)))], f"boundary_id string, area_id string, ring {RING}"))
     got = clip.map_data_clip({"pois": pois}, {}, areas, scopes)["pois"].collect()
     assert sorted((r.source_id, r.kind, r.area_id) for r in got) == [("p1", "own", "A"), ("p2", "inner", "A")]
+
+
+@pytest.mark.parametrize("small", [0, 5, 1000])
+def test_cycles_are_ranked_alike_in_tasks_and_by_joins(spark, small):
+    rng = random.Random(5)
+    rows, expected, start = [], {}, 0
+    for size in [1, 2, 3, 7, 64, 1, 40]:
+        ids = [start + 3 * i for i in range(size)]
+        start += 3 * size + 1
+        key = rng.choice(["a", "b", "c", None])
+        rng.shuffle(ids)
+        first = ids.index(min(ids))
+        for i, he in enumerate(ids):
+            rows.append((key, he, ids[(i + 1) % size], f"x{he}"))
+            expected[he] = (key, min(ids), (i - first) % size, f"x{he}")
+    links = settle(spark.createDataFrame(rows, "key string, he long, nxt long, note string"))
+    got = lists.cycles(links, small=small, step=10).select("key", "he", "face", "pos", "note").collect()
+    assert len(got) == len(rows)
+    assert {r.he: (r.key, r.face, r.pos, r.note) for r in got} == expected
+
+
+def test_a_crossing_is_rounded_as_in_sql(spark):
+    values = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 83_999_999_999.5, -83_999_999_998.5, 7.0, -7.2]
+    sql = [r.v for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i long, x double").orderBy("i").select(F.round("x").cast("bigint").alias("v")).collect()]
+    assert list(planar._rounded(np.array(values))) == sql
+
+
+def test_edges_meet_in_numpy_as_by_definition():
+    """A crossing, an end on an edge, an overlap and a shared end."""
+    edges = {1: (0, 0, 100, 100), 2: (0, 100, 100, 0), 3: (50, 50, 60, 20), 4: (20, 20, 200, 200), 5: (100, 100, 150, 30)}
+    pairs = [(1, 2), (1, 3), (1, 4), (1, 5)]
+    columns = {"pe": [p for p, _ in pairs], "qe": [q for _, q in pairs]} | {f"{o}_{c}": [edges[pair[k]][i] for pair in pairs] for k, o in enumerate("pq") for i, c in enumerate(planar.ENDS)}
+    met = planar._meetings(pa.RecordBatch.from_pydict(columns)).to_pylist()
+    assert sorted((m["eid"], m["x"], m["y"]) for m in met) == [(1, 20, 20), (1, 50, 50), (1, 50, 50), (2, 50, 50), (4, 100, 100)]
