@@ -566,3 +566,19 @@ def test_words_are_split_at_the_six_blanks():
 
 def test_sets_have_no_hidden_columns(saved):
     assert minhash.near_duplicates(saved(ODD).withColumn("fp", F.lit(1)).withColumn("doc", F.lit(2))).count() == len(ODD)
+
+
+def test_models_are_fitted_in_tasks_and_counts_stay_there(spark, monkeypatch):
+    rows = [("en", "the cat sat on the mat"), ("en", "the cat sat on the hat"), ("de", "der Hund und der Hut"), ("de", "der Hund im Hof"), (None, "abc"), ("", "abcd")]
+    counts = quality.ngram_counts(spark.createDataFrame(rows, "lang string, text string"))
+    table = [(r.lang, r.code, r.n, r.texts) for r in counts.collect()]
+    monkeypatch.setattr(type(counts), "toPandas", lambda self: pytest.fail("the counts went to the driver"))
+    got = quality.models(counts)
+    assert set(got) == {"en", "de", ""}
+    for lang, model in got.items():
+        code, n, texts = (np.array(c) for c in zip(*[r[1:] for r in table if r[0] == lang], strict=True))
+        want = quality.kneser_ney(code, n, texts == 1)
+        assert len(model) == len(want) == quality.ORDER
+        for a, b in zip(model, want, strict=True):
+            for x, y in zip(a, b, strict=True):
+                assert x.dtype == y.dtype and np.array_equal(x, y)
