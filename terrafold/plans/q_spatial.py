@@ -141,7 +141,8 @@ def lattice_edges(v: Views):
     nxt = a.select("area_id", "a", "ax", "ay", F.explode(F.array(F.struct(F.col("r").alias("r2"), (F.col("c") + 1).alias("c2")), F.struct((F.col("r") + 1).alias("r2"), F.col("c").alias("c2")))).alias("t"))
     nxt = nxt.select("area_id", "a", "ax", "ay", "t.r2", "t.c2")
     b = v.node.select("area_id", F.col("node_id").alias("b"), F.col("lrow").alias("r2"), F.col("lcol").alias("c2"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
-    e = nxt.join(b, ["area_id", "r2", "c2"])
+    # By the size of its file alone the table of nodes would be held whole in every task.
+    e = nxt.join(b.hint("merge"), ["area_id", "r2", "c2"])
     return e.select("area_id", F.concat_ws("-", "a", "b").alias("segment_id"), "a", "b", F.array(geo.point("ax", "ay"), geo.point("bx", "by")).alias("line"))
 
 
