@@ -82,6 +82,33 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_products(queries: np.ndarray, rows: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 16384) -> np.ndarray:
+    """``products`` of the pairs ``a[i], b[i]``, to the same bit."""
+    out = np.zeros(len(a))
+    for at in range(0, len(a), step):
+        part = out[at : at + step]
+        for own in (queries[a[at : at + step]] * rows[b[at : at + step]]).T:
+            part += own
+    return out
+
+
+def lengths(rows: np.ndarray) -> np.ndarray:
+    """At least the length of each row, without squares that leave the range of doubles."""
+    return np.abs(rows).max(axis=1, initial=0.0) * np.sqrt(rows.shape[1])
+
+
+def likely(queries: np.ndarray, rows: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose inner product may reach the query's ``floor`` (``slack`` below the score wanted): all that do, told by one matrix product."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nonzero(~(queries @ rows.T < floor[:, None]))
+
+
+def slack(query_lengths: np.ndarray, longest: float, width: int) -> np.ndarray:
+    """By how much at most two ways to sum inner products with rows up to ``longest`` may differ: each is off by less than the width times half a
+    unit of the product of the lengths."""
+    return 4 * width * np.finfo(float).eps * query_lengths * longest + np.finfo(float).tiny
+
+
 def best(row: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each row: largest score, then smallest id; an id counts once in a row."""
     order = np.lexsort((ident, -score, row))
@@ -104,6 +131,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.
         bound += np.maximum(np.maximum(low[None, :, j] - asked[:, j, None], asked[:, j, None] - high[None, :, j]), 0.0) ** 2
     order = np.argsort(bound, axis=1)
     norms = np.einsum("ij,ij->i", queries, queries)
+    q_lengths, longest = lengths(queries), lengths(vectors).max(initial=0.0)
     none = np.zeros(0)
     row, score, ident = none.astype(np.int64), none, none.astype(np.int64)
     kth, alive = floor.copy(), np.arange(len(queries))
@@ -116,12 +144,16 @@ def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.
         alive, leaf = alive[going], leaf[going]
         if not len(alive):
             break
-        new = [(row, score, ident)]
+        met = []
+        low_enough = kth - slack(q_lengths, longest, queries.shape[1])
         for one in np.unique(leaf):
             here, rows = alive[leaf == one], leaf_rows[one]
-            s = products(queries[here], vectors[rows])
-            a, b = np.nonzero((s >= kth[here, None]) & (ids[rows][None, :] != q_ids[here, None]))
-            new.append((here[a], s[a, b], ids[rows][b]))
+            a, b = likely(queries[here], vectors[rows], low_enough[here])
+            met.append((here[a], rows[b]))
+        a, b = (np.concatenate(x) for x in zip(*met, strict=True))
+        s = pair_products(queries, vectors, a, b)
+        keep = (s >= kth[a]) & (ids[b] != q_ids[a])
+        new = [(row, score, ident), (a[keep], s[keep], ids[b[keep]])]
         row, score, ident = best(*(np.concatenate(x) for x in zip(*new, strict=True)), k)
         end = np.searchsorted(row, np.arange(len(queries)), side="right")
         n = end - np.searchsorted(row, np.arange(len(queries)))
@@ -202,8 +234,12 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, m: int = 12, certaint
         read = lambda t: (np.frombuffer(t.column("ids")[0].as_py(), np.int64), np.frombuffer(t.column("data")[0].as_py(), np.float64).reshape(-1, width))
         (ids, vectors), (q_ids, asked) = read(tile), read(block)
         # The k-th best of the first sample rows: no later result can be worse.
-        s = np.where(start[0][None, :] == q_ids[:, None], -np.inf, products(asked, start[1]))
-        floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k and len(np.unique(start[0])) == len(start[0]) else np.full(len(asked), -np.inf)
+        floor = np.full(len(asked), -np.inf)
+        if len(start[0]) >= k and len(np.unique(start[0])) == len(start[0]):
+            with np.errstate(over="ignore", invalid="ignore"):
+                s = np.where(start[0][None, :] == q_ids[:, None], -np.inf, asked @ start[1].T)
+                floor = np.partition(s, -k, axis=1)[:, -k] - slack(lengths(asked), lengths(start[1]).max(), width)
+            floor[np.isnan(s).any(axis=1) | np.isnan(floor)] = -np.inf
         row, score, ident = search(ids, vectors, q_ids, asked, floor, top, k, m, certainty)
         return pa.table([pa.array(q_ids[row]), pa.array(ident), pa.array(score)], names=names)
 

@@ -510,6 +510,22 @@ def test_neighbours(spark):
     assert got[5000] == want[5000] and got[6120][:1] == want[6120][:1]
 
 
+def test_neighbours_likely_pairs():
+    """op10: one matrix product leaves out no pair that reaches the floor, equal scores and tiny or huge entries included, and lets few others through."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(600, 24))
+    rows[50:90] = rows[7]
+    for scale in (1.0, 1e-170, 1e140):
+        q, x = rows[:60], rows * scale
+        exact = neighbours.products(q, x)
+        floor = np.partition(exact, -20, axis=1)[:, -20]
+        a, b = neighbours.likely(q, x, floor - neighbours.slack(neighbours.lengths(q), neighbours.lengths(x).max(), 24))
+        assert (neighbours.pair_products(q, x, a, b, 100) == exact[a, b]).all()
+        told = np.zeros(exact.shape, bool)
+        told[a, b] = True
+        assert told[exact >= floor[:, None]].all() and (told & (exact < floor[:, None])).sum() < 60
+
+
 def test_neighbours_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 9.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(few).collect()] == [(0, 1, 1), (0, 2, 2)]
