@@ -393,6 +393,27 @@ def test_kneser_ney():
     assert np.allclose(quality.log_probability(model, some), [want(unpack(c)) for c in some], atol=1e-4)
 
 
+def test_no_two_characters_are_one_symbol():
+    last = lambda t: int(quality.codes([t.encode()])[0][-1])
+    rng = random.Random(1)
+    points = [0, 1, 31, 127, 128, 255, 256, 0x3B1, 0x3B1 + 128, 0x4E00, 0x4E80, 0xD7FF, 0xE000, 0xFFFD, 0xFFFF, 0x10000, 0x1F600, 0x1F601, 0x10FFFF]
+    points += [p for p in rng.sample(range(0x110000), 3000) if not 0xD800 <= p < 0xE000]
+    assert len({last("".join(map(chr, (65, p)))) for p in points}) == len(set(points))
+    grams = {"".join(chr(rng.choice([0x3B1, 0x431, 0x4E00, 0x4E80, 1])) for _ in range(4)) for _ in range(2000)}
+    assert len({last(g) for g in grams}) == len(grams)
+    rows = ["", "a\U0001f600b", "\u4e2d\u6587", "\0\0", "\U0010ffff"]
+    code, lengths = quality.codes([t.encode() for t in rows])
+    assert list(quality.characters(code, lengths)) == [len(t) for t in rows]
+
+
+def test_texts_of_other_scripts_are_judged_by_their_characters(spark):
+    moved = lambda t, by: "".join(chr(ord(c) + by) if c.isalpha() else c for c in t)
+    rows = [(i, moved(prose(i, 150), 0x4E00)) for i in range(300)] + [(1000 + i, moved(prose(i, 150), 0x4E80)) for i in range(4)]
+    out = {r.doc_id: r for r in quality.judged(spark.createDataFrame([(*r, "zh") for r in rows], "doc_id long, text string, lang string")).collect()}
+    assert sum(out[i].kept for i in range(300)) >= 285
+    assert not any(out[1000 + i].kept for i in range(4)) and not any(r.base_failed for r in out.values())
+
+
 # -- op 8 -----------------------------------------------------------------------------------------
 
 def test_plan_uses_every_piece():
