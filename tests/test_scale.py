@@ -200,3 +200,88 @@ def test_cells_meet_without_a_side_held_whole(spark):
     want = {(f"c{i}", f"p{j}") for i, a, b in at[:80] for j, c, d in at[80:] if meters(a, b, c, d) <= 150}
     assert {(r["center_id"], r["p"]) for r in near.collect()} == want
     assert want <= {(r["center_id"], r["p"]) for r in along.collect()}
+
+
+def test_blocks_are_measured_in_tasks_as_their_samples_tell(spark, monkeypatch):
+    r = random.Random(11)
+    box = lambda x, y, w, h: [{"x": a, "y": b} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y))]
+    rings, houses = [], []
+    for k in range(40):
+        w, h = r.randint(30, 90), r.randint(30, 80)
+        rings.append((f"b{k}", 0, box(0.0, 0.0, float(w), float(h))))
+        if k % 5 == 0:
+            rings.append((f"b{k}", 1, box(w * 0.4, h * 0.4, 8.0, 6.0)))
+        if k % 7 == 0:
+            rings.append((f"b{k}", 2, box(1.0, 1.0, 0.0, 0.0)))
+        for j in range(r.randint(0, 12)):
+            houses.append((f"b{k}", f"h{r.randint(0, 400):03d}" if j % 9 else None, box(r.uniform(1, w), r.uniform(1, h), r.uniform(0.5, 20), r.uniform(2, 9)), r.choice([None, 1, 2, 5])))
+    rings += [rings[3], ("bare", 0, box(0.0, 0.0, 300.0, 40.0)), (None, 0, box(0.0, 0.0, 9.0, 9.0)), ("none", None, box(0.0, 0.0, 40.0, 40.0)), ("nil", 0, None)]
+    houses += [houses[5], (None, "h1", box(0.0, 0.0, 3.0, 3.0), 1), ("alone", "h2", box(0.0, 0.0, 3.0, 3.0), 1), ("none", "h3", box(3.0, 3.0, 3.0, 3.0), 1), ("nil", "h4", box(3.0, 3.0, 3.0, 3.0), 1), ("bare", "h5", [], 1)]
+    ring_rows = spark.createDataFrame(rings, "block_id string, ring_index int, ring array<struct<x:double,y:double>>")
+    house_rows = spark.createDataFrame(houses, FOOT + ", levels int")
+    hits = settle(blocks.ray_hits(blocks.frontage_samples(ring_rows), house_rows.drop("levels")))
+    runs = settle(blocks.frontage_runs(hits))
+    kept = []
+    monkeypatch.setattr(blocks, "settle", lambda df, *a: kept.append(settle(df, *a)) or kept[-1])
+    measures, gaps, coverage = blocks.measure_blocks(ring_rows, house_rows)
+    got = measures.collect()
+    # A block's samples stay in its task: what is written is less than they are.
+    assert sum(df.count() for df in kept) < hits.count() / 5
+    near = lambda rows: sorted((b, round(v, 6)) for b, v in rows)
+    assert near(gaps.collect()) == near(blocks.run_gaps(runs).collect())
+    share = hits.filter("block_id IS NOT NULL").groupBy("block_id").agg((F.count("building_id") / F.count("*")).alias("c"))
+    assert near(coverage.collect()) == near(share.collect())
+    found = {}
+    for run in runs.filter("building_id IS NOT NULL").collect():
+        found.setdefault((run.block_id, run.building_id), {}).setdefault(run.ring_index, []).append((run.size_m, -run.start_m, run.length_m))
+    setback = {(x.block_id, x.building_id): x.m for x in hits.filter("building_id IS NOT NULL").groupBy("block_id", "building_id").agg(F.percentile("hit_m", 0.5).alias("m")).collect()}
+    with_rings = {b for b, _, _ in rings if b}
+    assert len(found) > 60 and {(m.block_id, m.building_id) for m in got} == {(b, i) for b, i, _, _ in houses if b in with_rings}
+    inner = [m for m in got if (m.block_id, m.building_id) not in found]
+    assert len(inner) > 10 and len({(m.block_id, m.building_id) for m in inner}) == len(inner)
+    for m in got:
+        if (m.block_id, m.building_id) in found:
+            by_ring = found[m.block_id, m.building_id]
+            ring_index = min(by_ring, key=lambda i: (-round(sum(x[0] for x in by_ring[i]), 9), i))
+            size, start, length = max(by_ring[ring_index])
+            assert (m.ring_index, round(m.width_m, 6), round(m.start_m, 6)) == (ring_index, round(size, 6), round(-start, 6))
+            assert abs(m.front_setback_m - setback[m.block_id, m.building_id]) < 1e-9
+            outline = next(p for b, i, p in rings if (b, i) == (m.block_id, ring_index))
+            w, h = outline[2]["x"] - outline[0]["x"], outline[2]["y"] - outline[0]["y"]
+            middle = (m.start_m + m.width_m / 2) % length
+            turns = [0, w, w + h, 2 * w + h, length]
+            if min(abs(middle - t) for t in turns) > 0.6:
+                axis = "y" if middle < w or w + h < middle < 2 * w + h else "x"
+                depths = {round(max(p[axis] for p in f) - min(p[axis] for p in f), 6) for b, i, f, _ in houses if (b, i) == (m.block_id, m.building_id)}
+                assert round(m.depth_m, 6) in depths
+        else:
+            assert (m.width_m, m.depth_m, m.start_m) == (0, 0, 0)
+    far = lambda foot, ring: F.when(geo.lines_touch(foot, ring), 0.0).otherwise(F.least(F.array_min(F.transform(foot, lambda p: geo.distance_to_line(p["x"], p["y"], ring))), F.array_min(F.transform(ring, lambda p: geo.distance_to_line(p["x"], p["y"], foot)))))
+    pairs = house_rows.withColumnRenamed("ring", "foot").join(ring_rows, "block_id").select("block_id", "building_id", "ring_index", far("foot", "ring").alias("d"))
+    nearest = {(x.block_id, x.building_id): x.m for x in pairs.groupBy("block_id", "building_id").agg(F.min(F.struct("d", "ring_index")).alias("m")).collect()}
+    for m in inner:
+        want = nearest[m.block_id, m.building_id]
+        assert m.ring_index == want.ring_index and (m.front_setback_m is None) == (want.d is None) and (want.d is None or abs(m.front_setback_m - want.d) < 1e-9)
+
+
+def test_fingerprints_have_exact_quantiles(spark):
+    r = random.Random(12)
+    rows = [(f"b{k}", r.choice([0.0, r.uniform(1, 9)]) if k % 4 else 0.0, r.choice([None, r.uniform(0, 9)]), r.uniform(0, 9), r.choice([None, 1, 2, 3])) for k in range(30) for _ in range(r.randint(1, 9))]
+    gaps = [(f"b{r.randrange(35)}", r.uniform(0, 5)) for _ in range(60)] + [(None, 1.0)]
+    m = spark.createDataFrame(rows + [(None, 1.0, 1.0, 1.0, 1)], "block_id string, width_m double, depth_m double, front_setback_m double, levels int")
+    out = blocks.fingerprints(m, spark.createDataFrame(gaps, "block_id string, gap_m double"), spark.createDataFrame([(f"b{k}", 0.5) for k in range(1, 40)], "block_id string, coverage double"))
+    # Quantiles of whole blocks are taken in tasks: no aggregate holds a map of values per block.
+    assert "ObjectHashAggregate" not in plan(out)
+    got = {x.block_id: x for x in out.collect()}
+    assert set(got) == {b for b, *_ in rows} - {"b0"}
+    quantile = lambda v, p: None if not v else float(np.quantile(v, p))
+    same = lambda a, b: a == b or (None not in (a, b) and abs(a - b) < 1e-9)
+    for b, x in got.items():
+        mine = [y for y in rows if y[0] == b]
+        use = [y for y in mine if y[1] > 0] or mine
+        assert x.buildings == len(mine) and same(x.median_levels, quantile([y[4] for y in mine if y[4] is not None], 0.5))
+        for i, name in ((1, "width"), (2, "depth"), (3, "front_setback")):
+            v = [y[i] for y in use if y[i] is not None]
+            assert same(x[f"{name}_median"], quantile(v, 0.5)) and same(x[f"{name}_iqr"], v and quantile(v, 0.75) - quantile(v, 0.25) or (0.0 if v else None))
+        v = [g for name, g in gaps if name == b]
+        assert same(x.side_gap_median, quantile(v, 0.5) or 0.0) and same(x.side_gap_iqr, quantile(v, 0.75) - quantile(v, 0.25) if v else 0.0)
