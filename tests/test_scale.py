@@ -285,3 +285,37 @@ def test_fingerprints_have_exact_quantiles(spark):
             assert same(x[f"{name}_median"], quantile(v, 0.5)) and same(x[f"{name}_iqr"], v and quantile(v, 0.75) - quantile(v, 0.25) or (0.0 if v else None))
         v = [g for name, g in gaps if name == b]
         assert same(x.side_gap_median, quantile(v, 0.5) or 0.0) and same(x.side_gap_iqr, quantile(v, 0.75) - quantile(v, 0.25) if v else 0.0)
+
+
+def test_sums_within_a_radius_equal_all_pairs(spark):
+    r = random.Random(13)
+    places = [(10.0, 20.0), (0.0, -179.9995), (-0.0005, 179.9995), (59.9, 5.0), (-89.997, 100.0)]
+    spot = lambda k: (places[k][0] + r.uniform(-0.004, 0.004) * (0.3 if k == 4 else 1), (places[k][1] + r.uniform(-0.009, 0.009) * (2000 if k == 4 else 1) + 180) % 360 - 180)
+    of = lambda n, most: [(f"c{i}", *spot(r.choice([0, 0, 0, 1, 2, 3, 4])), r.choice(["a", "a", "b", None]), r.choice([None, *range(most)]), r.randrange(5)) for i in range(n)]
+    centers, points = of(400, 9), of(900, 9)
+    centers += [(*centers[0][:3], "b", 1, 1), (None, 10.0, 20.0, "a", 1, 1), ("nowhere", None, 20.0, "a", 1, 1), ("alone", 40.0, 20.0, "a", 1, 1)]
+    points += [("x", None, 20.0, "a", 1, 1), *((f"e{i}", 10.0, 20.0, "b", None, 2) for i in range(300))]
+    c = spark.createDataFrame(centers, "center_id string, c_lat double, c_lon double, kind string, u int, w int")
+    p = spark.createDataFrame(points, "id string, lat double, lon double, kind string, t int, g long")
+    out = spatial.sums_within_radius(c, p, 500.0, "kind", ["t", "g"])
+    assert "Join" not in plan(out)
+    want = {}
+    for i, (name, lat, lon, kind, *_) in enumerate(centers):
+        near = [x for x in points if None not in (lat, kind, x[1]) and x[3] == kind and meters(lat, lon, x[1], x[2]) <= 500]
+        if near:
+            t = [x[4] for x in near if x[4] is not None]
+            want.setdefault(name, []).append((len(near), sum(t) if t else None, sum(x[5] for x in near)))
+    got = {}
+    for x in out.collect():
+        got.setdefault(x.center_id, []).append((x.n, x.t, x.g))
+    key = lambda v: sorted(v, key=str)
+    assert {k: key(v) for k, v in got.items()} == {k: key(v) for k, v in want.items()} and len(want) > 250 and max(v[0][0] for v in want.values()) > 100
+
+
+def test_calibration_makes_no_pairs(spark):
+    blocks_ = [(f"b{i}", 10.0 + i * 1e-5, 20.0, "regular") for i in range(200)]
+    feedback = [(f"b{i}", 10.0 + i * 1e-5, 20.0, "regular", i % 4, 2) for i in range(0, 200, 10)]
+    out = blocks.calibration(spark.createDataFrame(blocks_, "block_id string, lat double, lon double, style string"), spark.createDataFrame(feedback, "block_id string, lat double, lon double, style string, target long, generated long"))
+    assert "haversine" not in plan(out).lower() and "ASIN" not in plan(out).upper()
+    rows = out.collect()
+    assert len(rows) == 180 and {round(x.factor, 6) for x in rows} == {round(sum(i % 4 for i in range(0, 200, 10)) / 40, 6)}
