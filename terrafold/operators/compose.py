@@ -108,18 +108,16 @@ def composable_blocks(blocks: DataFrame, areas: DataFrame) -> DataFrame:
     ``blocks`` has ``area_id, block_id, ring, is_clipped, lat, lon`` where lat/lon is a point inside."""
     inner = areas_covered_by(areas).select("outer_id", F.col("inner_id").alias("area_id"))
     cand = blocks.filter(~F.col("is_clipped")).join(inner, "area_id").select("outer_id", "area_id", "block_id", "lat", "lon")
-    holders = blocks.select(F.col("area_id").alias("holder"), F.col("is_clipped").alias("h_clipped"), "ring")
-    hits = spatial.points_in_rings(cand, holders)
-    by_outer = F.col("holder") == F.col("outer_id")
-    other_inner = inner.select(F.col("outer_id"), F.col("area_id").alias("holder"), F.lit(True).alias("_same_outer"))
-    covers = area_pairs(areas).select(F.col("outer_id").alias("holder"), F.col("inner_id").alias("area_id"), F.lit(True).alias("_covers"))
-    back = covers.select(F.col("holder").alias("area_id"), F.col("area_id").alias("holder"), F.lit(True).alias("_equal"))
-    h = hits.join(other_inner, ["outer_id", "holder"], "left").join(covers, ["holder", "area_id"], "left").join(back, ["holder", "area_id"], "left")
-    more_outer = (
-        F.col("_same_outer") & ~F.col("h_clipped") & (F.col("holder") != F.col("area_id")) & F.col("_covers")
-        & (F.col("_equal").isNull() | (F.col("holder") < F.col("area_id")))
-    )
-    held = h.filter(by_outer | F.coalesce(more_outer, F.lit(False))).select("outer_id", "block_id")
+    # Which areas' blocks may hide a block of an inner area: those of the outer area, and whole ones of other inner areas that cover it.
+    others = inner.select("outer_id", F.col("area_id").alias("holder"))
+    covers = area_pairs(areas).select(F.col("outer_id").alias("holder"), F.col("inner_id").alias("area_id")).distinct()
+    equal = covers.select(F.col("holder").alias("area_id"), F.col("area_id").alias("holder"), F.lit(True).alias("_equal"))
+    more_outer = inner.join(covers, "area_id").join(others, ["outer_id", "holder"], "left_semi").join(equal, ["holder", "area_id"], "left")
+    more_outer = more_outer.filter("holder <> area_id AND (_equal IS NULL OR holder < area_id)").select("outer_id", "area_id", "holder", F.lit(True).alias("_whole"))
+    hiding = inner.select("outer_id", "area_id", F.col("outer_id").alias("holder"), F.lit(False).alias("_whole")).unionByName(more_outer).distinct()
+    probes = cand.join(hiding, ["outer_id", "area_id"]).select("outer_id", "block_id", "lat", "lon", "holder", "_whole")
+    rings = blocks.select(F.col("area_id").alias("holder"), F.col("is_clipped").alias("h_clipped"), "ring")
+    held = spatial.points_covered(probes, rings, on="holder", also=~F.col("_whole") | (F.col("h_clipped") == F.lit(False))).select("outer_id", "block_id")
     return cand.join(held, ["outer_id", "block_id"], "left_anti")
 
 

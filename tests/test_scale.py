@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.operators import blocks, raster, spatial
+from terrafold.operators import blocks, compose, raster, spatial
 from terrafold.plans.views import Views
 from terrafold.session import settle
 
@@ -319,3 +319,62 @@ def test_calibration_makes_no_pairs(spark):
     assert "haversine" not in plan(out).lower() and "ASIN" not in plan(out).upper()
     rows = out.collect()
     assert len(rows) == 180 and {round(x.factor, 6) for x in rows} == {round(sum(i % 4 for i in range(0, 200, 10)) / 40, 6)}
+
+
+def test_blocks_of_other_areas_are_not_paired_with_their_own(spark):
+    r = random.Random(14)
+    rows = [(f"b{i}", 10 + r.uniform(0, 0.01), 20 + r.uniform(0, 0.03), r.choice(["A", "A", "B", "C", None])) for i in range(250)] + [("far", 11.0, 20.0, "A")]
+    b = spark.createDataFrame(rows, "block_id string, lat double, lon double, area_id string")
+    areas = spark.createDataFrame([("A", "completed"), ("B", "completed"), ("C", "failed")], "area_id string, status string")
+    c = b.select(F.col("block_id").alias("center_id"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.col("area_id").alias("own_area"))
+    out = blocks.blocks_within(c, b, areas)
+    joins = [x for x in plan(out).split("\n") if "Join" in x and "Inner" in x]
+    assert joins and any("area_id" in x for x in joins)
+    got = {(x.center_id, x.block_id, x.area_id, x.own_area) for x in out.collect()}
+    want = {(p[0], q[0], q[3], p[3]) for p in rows for q in rows if p[3] and q[3] in ("A", "B") and p[3] != q[3] and meters(*p[1:3], *q[1:3]) <= 500}
+    assert got == want and len(want) > 100
+
+
+def test_composed_blocks_meet_only_what_may_hide_them(spark):
+    r = random.Random(15)
+    boxes = {"O": (0, 100), "M": (10, 90), "S": (20, 60), "T": (20, 60), "U": (50, 85), "X": (200, 210)}
+    status = {"T": "completed", "X": "importing"}
+    areas = [(k, status.get(k, "completed"), 10 + a * 1e-4, 20 + a * 1e-4, 10 + z * 1e-4, 20 + z * 1e-4) for k, (a, z) in boxes.items()]
+    areas.append(("V", "failed", *areas[2][2:]))
+    rows = []
+    for i in range(260):
+        area = r.choice("OOMMSTUVX")
+        a, z = boxes.get(area, boxes["S"])
+        y, x, h = 10 + r.uniform(a, z) * 1e-4, 20 + r.uniform(a, z) * 1e-4, r.uniform(1, 7) * 1e-4
+        corners = [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)] if i % 2 else [(x - h, y - h), (x + h, y - h), (x + h, y + h)]
+        rows.append((f"k{i}", area, y, x, [{"x": p, "y": q} for p, q in [*corners, corners[0]]], r.choice([False, False, True, None])))
+    b = spark.createDataFrame(rows, "block_id string, area_id string, lat double, lon double, ring array<struct<x:double,y:double>>, is_clipped boolean")
+    out = compose.composable_blocks(b, spark.createDataFrame(areas, "area_id string, status string, min_lat double, min_lon double, max_lat double, max_lon double"))
+    assert "LeftSemi" in plan(out)
+
+    def within(i, o):
+        i, o = i[2:], o[2:]
+        return i[0] >= o[0] and i[1] >= o[1] and i[2] <= o[2] and i[3] <= o[3]
+
+    def holds(ring, lat, lon):
+        inside = False
+        for p, q in zip(ring, ring[1:]):
+            if (p["y"] > lat) != (q["y"] > lat) and lon < p["x"] + (lat - p["y"]) / (q["y"] - p["y"]) * (q["x"] - p["x"]):
+                inside = not inside
+        return inside
+
+    covers = {(o[0], i[0]) for o in areas for i in areas if o[0] != i[0] and within(i, o)}
+    done = {a[0] for a in areas if a[1] == "completed"}
+    want = set()
+    for name, area, lat, lon, _, clipped in rows:
+        if clipped is not False or area not in done:
+            continue
+        for outer in (o for o, i in covers if i == area):
+            hidden = False
+            for _, holder, _, _, ring, cut in rows:
+                more = (outer, holder) in covers and holder in done and cut is False and holder != area and (holder, area) in covers and ((area, holder) not in covers or holder < area)
+                hidden = hidden or ((holder == outer or more) and holds(ring, lat, lon))
+            if not hidden:
+                want.add((outer, name))
+    got = [(x.outer_id, x.block_id) for x in out.collect()]
+    assert sorted(got) == sorted(want) and len(want) > 30
