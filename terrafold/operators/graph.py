@@ -5,10 +5,13 @@ plans stay short and a lost executor only repeats one round."""
 
 from __future__ import annotations
 
+import heapq
 import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -250,6 +253,8 @@ PARTS = 4
 SMALL = 200_000
 #: Level of states that were not contracted.
 CORE = 1 << 30
+#: An area of at most so many arcs with its shortcuts is searched in tasks, for so many pairs at a time; a route of at most so many edges is put in order in one.
+SEARCHED, PAIRS = 2_000_000, 500
 
 
 def _contract_small(arcs: pd.DataFrame, least_share: float, level: int) -> pd.DataFrame:
@@ -392,66 +397,266 @@ def _chain(last: DataFrame, tree: DataFrame) -> DataFrame:
     return tree.join(hops.select("od_id", F.col("edge").alias("state")), ["od_id", "state"])
 
 
-def shortest_paths(edges: DataFrame, successors: DataFrame, od: DataFrame, cost: str = "distance_m", max_rounds: int = 100_000, arcs: DataFrame | None = None, with_tree: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """Turn-aware shortest paths for many origin/destination pairs at once.
+class _Arcs:
+    """Arcs one way, as neighbours of each of ``n`` states."""
 
-    ``edges``: ``area_id, segment_id, from_node, to_node, <cost>``; ``successors``: allowed ``area_id, incoming, outgoing``; ``od``: ``od_id,
-    area_id, origin, destination``. The state is the last edge taken, so a turn is legal or not by how one arrived. Returns
-    ``(answers, tree)``: per pair its status, last edge and total, and the predecessor of every edge on its route (see ``reconstruct``).
+    def __init__(self, n: int, state: np.ndarray, to: np.ndarray, cost: np.ndarray):
+        order = np.argsort(state, kind="stable")
+        self.to, self.cost = to[order], cost[order]
+        self.first = np.searchsorted(state[order], np.arange(n + 1))
 
-    The turn graph is contracted first (``arcs`` of an earlier ``contract`` may be given). From the destination the search goes back over arcs to lower
-    levels only, from the origin on over arcs to higher levels and through the core; a route is where both meet. So rounds are the levels and the hops
-    within the core, not the hops of the route. Shortcuts are unpacked on the routes found. Raises if a search isn't settled after ``max_rounds``."""
-    arcs = contract(edges, successors, cost) if arcs is None else arcs
-    e = edges.select("area_id", F.col("segment_id").alias("state"), "from_node", "to_node", F.col(cost).alias("c"))
-    asked = od.filter("origin <> destination").select("od_id", "area_id", "origin", "destination")
-    start = asked.join(e.withColumnRenamed("from_node", "origin"), ["area_id", "origin"]).select("od_id", "area_id", "state", F.col("c").alias("d"))
-    end = asked.join(e.withColumnRenamed("to_node", "destination"), ["area_id", "destination"]).select("od_id", "area_id", "state", F.lit(0.0).alias("d"))
+    def spread(self, start: dict[int, float], max_rounds: int, rest: dict[int, float] | None = None) -> tuple[dict[int, tuple[float, int, int]], tuple[float, int] | None]:
+        """``_spread`` for one pair: per state reached its least length, the state before it (-1 for none) and its hops, and with ``rest`` the least
+        total with its state, the lower number of equal ones; states that can't beat it go no further. Raises ``OverflowError`` beyond ``max_rounds`` hops."""
+        best = {s: (d, -1, 0) for s, d in start.items()}
+        heap, done, met = [(d, s) for s, d in start.items()], set(), None
+        heapq.heapify(heap)
+        while heap:
+            d, s = heapq.heappop(heap)
+            if met is not None and d > met[0]:
+                break
+            if s in done:
+                continue
+            done.add(s)
+            hops = best[s][2] + 1
+            if hops > max_rounds + 1:
+                raise OverflowError
+            if rest is not None:
+                if s in rest and (met is None or (d + rest[s], s) < met):
+                    met = (d + rest[s], s)
+                if met is not None and d >= met[0]:
+                    continue
+            low, high = self.first[s], self.first[s + 1]
+            for w, c in zip(self.to[low:high].tolist(), self.cost[low:high].tolist(), strict=True):
+                if w not in done and (w not in best or (d + c, s) < best[w][:2]):
+                    if w not in best or d + c < best[w][0]:
+                        heapq.heappush(heap, (d + c, w))
+                    best[w] = (d + c, s, hops)
+        return best, met
+
+
+def _way_back(best: dict[int, tuple[float, int, int]], s: int) -> list[int]:
+    out = [s]
+    while (s := best[s][1]) >= 0:
+        out.append(s)
+    return out
+
+
+def _searched(arcs: pa.Table, asked: pa.Table, max_rounds: int, with_tree: bool) -> pa.Table:
+    """The routes of some pairs in some whole areas: per pair found a row with its ``total`` (-1 if it took too many rounds) and last ``edge``, and,
+    ``with_tree``, a row without ``total`` for every edge of its route with the one before it."""
+    column = lambda t, c: t[c].combine_chunks()
+    n = len(arcs)
+    names = pa.concat_arrays([*(column(arcs, c) for c in ("u", "w", "mid")), column(asked, "state")])
+    areas = pa.concat_arrays([*[column(arcs, "area_id")] * 3, column(asked, "area_id")])
+    # States get numbers in the order of their names.
+    names, areas = names.dictionary_encode(), areas.dictionary_encode()
+    order = pc.sort_indices(names.dictionary).to_numpy()
+    rank = np.empty(len(order), "int64")
+    rank[order] = np.arange(len(order))
+    valid = names.indices.is_valid().to_numpy(zero_copy_only=False)
+    code = np.full(len(names), -1)
+    if valid.any():
+        known, number = np.unique(rank[names.indices.drop_null().to_numpy()] * len(areas.dictionary) + areas.indices.to_numpy()[valid], return_inverse=True)
+        code[valid] = number
+    else:
+        known = np.zeros(0, "int64")
+    u, w, mid, state = np.split(code, [n, 2 * n, 3 * n])
+    name = lambda codes: names.dictionary.take(pa.array(order[known[codes] // max(len(areas.dictionary), 1)]))
+    cost, lu, lw = (column(arcs, c).to_numpy() for c in ("c", "lu", "lw"))
+    down, up = lu > lw, (lw > lu) | ((lu == CORE) & (lw == CORE))
+    back, forth = _Arcs(len(known), w[down], u[down], cost[down]), _Arcs(len(known), u[up], w[up], cost[up])
+    # Arcs by their ends; null ends have no number and are none.
+    ends = u * len(known) + w
+    by_ends = np.argsort(ends, kind="stable")
+    sorted_ends = ends[by_ends]
+    pairs = column(asked, "od_id").dictionary_encode()
+    pair, starts, first_d = pairs.indices.to_numpy(), column(asked, "starts").to_numpy(zero_copy_only=False), column(asked, "d").to_numpy()
+    found, firsts, todo = [], [], []
+    for k, rows in enumerate(np.split(np.argsort(pair, kind="stable"), np.cumsum(np.bincount(pair, minlength=len(pairs.dictionary)))[:-1])):
+        start, end = {}, {}
+        for s, begins, d in zip(state[rows].tolist(), starts[rows].tolist(), first_d[rows].tolist(), strict=True):
+            side = start if begins else end
+            side[s] = min(d, side.get(s, d))
+        if not start or not end:
+            continue
+        try:
+            after, _ = back.spread(end, max_rounds)
+            before, met = forth.spread(start, max_rounds, {s: d for s, (d, *_) in after.items()})
+        except OverflowError:
+            found.append((k, -1.0, next(iter(end))))
+            continue
+        if met is None:
+            continue
+        on, there = _way_back(after, met[1]), _way_back(before, met[1])[::-1]
+        found.append((k, met[0], on[-1]))
+        firsts.append((k, there[0]))
+        way = np.array(there + on[1:], "int64")
+        todo.append(np.column_stack([np.full(len(way) - 1, k), way[:-1], way[1:]]))
+    edges = []
+    left = np.vstack(todo) if todo and with_tree else np.zeros((0, 3), "int64")
+    while len(left):
+        # A shortcut is the two arcs by way of the state it skips.
+        by = mid[by_ends[np.searchsorted(sorted_ends, left[:, 1] * len(known) + left[:, 2])]]
+        edges.append(left[by < 0])
+        short, by = left[by >= 0], by[by >= 0]
+        left = np.vstack([np.column_stack([short[:, 0], short[:, 1], by]), np.column_stack([short[:, 0], by, short[:, 2]])])
+    tree = np.vstack(edges) if edges else np.zeros((0, 3), "int64")
+    k, total, last = (np.array([f[i] for f in found], dtype) for i, dtype in enumerate(("int64", "float64", "int64")))
+    first_k, first = (np.array([f[i] for f in firsts], "int64") for i in (0, 1)) if with_tree else (np.zeros(0, "int64"),) * 2
+    out = [
+        pairs.dictionary.take(pa.array(np.concatenate([k, first_k, tree[:, 0]]))),
+        pa.concat_arrays([pa.array(total), pa.nulls(len(first) + len(tree), pa.float64())]),
+        name(np.concatenate([last, first, tree[:, 2]])),
+        pa.concat_arrays([pa.nulls(len(last) + len(first), names.dictionary.type), name(tree[:, 1])]),
+    ]
+    return pa.Table.from_arrays(out, names=["od_id", "total", "edge", "prev"])
+
+
+def _searched_by_joins(arcs: DataFrame, start: DataFrame, end: DataFrame, max_rounds: int, with_tree: bool) -> tuple[DataFrame, DataFrame | None]:
+    """``_searched`` by rounds of joins: ``(met, tree)``, with ``total`` and ``last_edge`` of each pair found."""
     down = arcs.filter("lu > lw").select("area_id", F.col("w").alias("state"), F.col("u").alias("next"), "c")
     up = arcs.filter(f"lw > lu OR (lu = {CORE} AND lw = {CORE})").select("area_id", F.col("u").alias("state"), F.col("w").alias("next"), "c")
     back = settle(_spread(end, down, max_rounds))
     forth = settle(_spread(start, up, max_rounds, back.select("od_id", "area_id", "state", F.col("d").alias("rest"))))
     met = settle(forth.filter("total IS NOT NULL").groupBy("od_id").agg(F.min(F.struct("total", "state")).alias("m")).select("od_id", "m.*"))
-
-    same = F.col("origin") == F.col("destination")
-    after = settle(_chain(met, back)) if with_tree else None
-    last = after.filter("prev IS NULL").select("od_id", F.col("state").alias("last_edge")) if with_tree else met.select("od_id", F.lit(None).cast("string").alias("last_edge"))
-    answers = od.join(met, "od_id", "left").join(last, "od_id", "left").select(
-        "od_id", "area_id", "origin", "destination", F.when(same | F.col("total").isNotNull(), "ok").otherwise("no_route").alias("status"),
-        F.when(same, F.lit(0.0)).otherwise(F.col("total")).alias("total_m"), "last_edge",
-    )
     if not with_tree:
-        return answers.drop("last_edge"), None
+        return met.select("od_id", "total", F.lit(None).cast("string").alias("last_edge")), None
+    after = settle(_chain(met, back))
+    last = after.filter("prev IS NULL").select("od_id", F.col("state").alias("last_edge"))
     before = settle(_chain(met, forth))
     todo = before.filter("prev IS NOT NULL").select("od_id", "area_id", F.col("prev").alias("u"), F.col("state").alias("w"))
     todo = todo.unionByName(after.filter("prev IS NOT NULL").select("od_id", "area_id", F.col("state").alias("u"), F.col("prev").alias("w")))
     tree = before.filter("prev IS NULL").select("od_id", F.col("state").alias("edge"), F.lit(None).cast("string").alias("prev"))
+    met = met.join(last, "od_id", "left").select("od_id", "total", "last_edge")
     while True:
         # A shortcut is the two arcs by way of the state it skips; each of them is of an earlier round.
         parts = settle(todo.join(arcs.select("area_id", "u", "w", "mid"), ["area_id", "u", "w"]))
         tree = tree.unionByName(parts.filter("mid IS NULL").select("od_id", F.col("w").alias("edge"), F.col("u").alias("prev")))
         short = parts.filter("mid IS NOT NULL")
         if short.isEmpty():
-            return answers, tree
+            return met, tree
         todo = short.select("od_id", "area_id", "u", F.col("mid").alias("w")).unionByName(short.select("od_id", "area_id", F.col("mid").alias("u"), "w"))
 
 
-def reconstruct(answers: DataFrame, tree: DataFrame) -> DataFrame:
+def shortest_paths(edges: DataFrame, successors: DataFrame, od: DataFrame, cost: str = "distance_m", max_rounds: int = 100_000, arcs: DataFrame | None = None, with_tree: bool = True, searched: int = SEARCHED) -> tuple[DataFrame, DataFrame | None]:
+    """Turn-aware shortest paths for many origin/destination pairs at once.
+
+    ``edges``: ``area_id, segment_id, from_node, to_node, <cost>``; ``successors``: allowed ``area_id, incoming, outgoing``; ``od``: ``od_id,
+    area_id, origin, destination``. The state is the last edge taken, so a turn is legal or not by how one arrived. Returns
+    ``(answers, tree)``: per pair its status, last edge and total, and the predecessor of every edge on its route (see ``reconstruct``).
+
+    The turn graph is contracted first (``arcs`` of an earlier ``contract`` may be given). From the destination the search goes back over arcs to lower
+    levels only, from the origin on over arcs to higher levels and through the core; a route is where both meet. Shortcuts are unpacked on the routes found.
+    Pairs of an area of at most ``searched`` arcs are searched in tasks, some hundred at a time, so that its arcs travel once. Those of larger areas, of areas with
+    costs below 0 or none and pairs named for several areas are searched by rounds of joins: as many as the levels and the hops within the core, not
+    the hops of the route. Raises if a search isn't settled after ``max_rounds`` hops or rounds."""
+    arcs = contract(edges, successors, cost) if arcs is None else arcs
+    e = edges.select("area_id", F.col("segment_id").alias("state"), "from_node", "to_node", F.col(cost).alias("c"))
+    asked = od.filter("origin <> destination").select("od_id", "area_id", "origin", "destination")
+    start = asked.join(e.withColumnRenamed("from_node", "origin"), ["area_id", "origin"]).select("od_id", "area_id", "state", F.col("c").alias("d"))
+    end = asked.join(e.withColumnRenamed("to_node", "destination"), ["area_id", "destination"]).select("od_id", "area_id", "state", F.lit(0.0).alias("d"))
+    ends = settle(start.withColumn("starts", F.lit(True)).unionByName(end.withColumn("starts", F.lit(False))))
+    sound = lambda c: F.coalesce((F.col(c) >= 0) & ~F.isnan(c), F.lit(False))
+    sizes = settle(arcs.groupBy("area_id").agg(F.count("*").alias("n"), F.min(sound("c")).alias("ok")))
+    joined = ends.join(sizes.filter(f"n > {searched} OR NOT ok").select("area_id", F.lit(True).alias("_large")), "area_id", "left").groupBy("od_id")
+    joined = settle(joined.agg(F.max(F.coalesce("_large", F.lit(False)) | ~sound("d")).alias("_by"), (F.min("area_id") < F.max("area_id")).alias("_several")).filter("_by OR _several").select("od_id"))
+    several = not joined.isEmpty()
+
+    own = ends.filter("od_id IS NOT NULL").join(joined, "od_id", "left_anti") if several else ends.filter("od_id IS NOT NULL")
+    parts = own.groupBy("area_id").agg(F.ceil(F.approx_count_distinct("od_id") / PAIRS).cast("int").alias("_parts")).join(sizes, "area_id", "left")
+    small = F.coalesce("n", F.lit(0)) <= SMALL
+    n_steps = int((sizes.agg(F.sum("n")).first()[0] or 0) // SMALL) + 1
+    # Areas of few arcs share a step, others have one or, for many pairs, several.
+    parts = settle(parts.select("area_id", "_parts", F.when(small, F.pmod(F.xxhash64("area_id"), F.lit(n_steps))).otherwise(F.xxhash64("area_id")).alias("_home")))
+    step = F.xxhash64("_home", "_part").alias("_step")
+    dealt = own.join(parts, "area_id").withColumn("_part", F.pmod(F.xxhash64("od_id"), F.col("_parts"))).select("od_id", "area_id", "state", "d", "starts", step)
+    copies = arcs.join(parts, "area_id").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)))
+    copies = copies.filter("u IS NOT NULL AND w IS NOT NULL").select("area_id", "u", "w", F.col("c").cast("double").alias("c"), "mid", "lu", "lw", step)
+    found = copies.groupBy("_step").cogroup(dealt.groupBy("_step")).applyInArrow(
+        lambda a, o: _searched(a, o, max_rounds, with_tree), f"od_id {od.schema['od_id'].dataType.simpleString()}, total double, edge string, prev string"
+    )
+    found = settle(found)
+    if not found.filter("total < 0").isEmpty():
+        raise RuntimeError(f"routes are not settled after {max_rounds} rounds")
+    met = found.filter("total IS NOT NULL").select("od_id", "total", F.col("edge").alias("last_edge"))
+    tree = found.filter("total IS NULL").select("od_id", "edge", "prev") if with_tree else None
+    if several:
+        rest = ends.join(joined, "od_id", "left_semi")
+        of = lambda begins: rest.filter("starts" if begins else "NOT starts").drop("starts")
+        more_met, more_tree = _searched_by_joins(arcs, of(True), of(False), max_rounds, with_tree)
+        met, tree = met.unionByName(more_met), tree.unionByName(more_tree) if with_tree else None
+    same = F.col("origin") == F.col("destination")
+    answers = od.join(met, "od_id", "left").select(
+        "od_id", "area_id", "origin", "destination", F.when(same | F.col("total").isNotNull(), "ok").otherwise("no_route").alias("status"),
+        F.when(same, F.lit(0.0)).otherwise(F.col("total")).alias("total_m"), "last_edge",
+    )
+    return (answers, tree) if with_tree else (answers.drop("last_edge"), None)
+
+
+def _in_order(answers: pa.Table, tree: pa.Table) -> pa.Table:
+    """``reconstruct`` of some whole routes."""
+    column = lambda t, c: t[c].combine_chunks()
+    n, m = len(tree), len(answers)
+    pairs = pa.concat_arrays([column(tree, "od_id"), column(answers, "od_id")]).dictionary_encode()
+    names = pa.concat_arrays([column(tree, "edge"), column(tree, "prev"), column(answers, "last_edge")]).dictionary_encode()
+    pair, name = pairs.indices.to_numpy(), names.indices.to_numpy()
+    many = len(names.dictionary)
+    edge, prev, last = pair[:n] * np.int64(many) + name[:n], pair[:n] * np.int64(many) + name[n : 2 * n], pair[n:] * np.int64(many) + name[2 * n :]
+    order = np.argsort(edge)
+    edge, prev = edge[order], prev[order]
+
+    def row_of(key):
+        at = np.minimum(np.searchsorted(edge, key), max(n - 1, 0))
+        return np.where(edge[at] == key, at, -1) if n else np.full(len(key), -1)
+
+    before, at = row_of(prev).tolist(), row_of(last).tolist()
+    routes, whose, back = [], [], []
+    for k in range(m):
+        rows, i = [], at[k]
+        while i >= 0:
+            rows.append(i)
+            i = before[i]
+            if len(rows) > n:
+                raise RuntimeError("a route goes round")
+        routes.append(np.concatenate([last[k : k + 1], prev[rows]]) if rows else last[k : k + 1])
+        whose.append(np.full(len(rows) + 1, pair[n + k]))
+        back.append(np.arange(len(rows) + 1))
+    key, whose, back = (np.concatenate(x) if x else np.zeros(0, "int64") for x in (routes, whose, back))
+    length = np.zeros(len(pairs.dictionary), "int64")
+    np.maximum.at(length, whose, back)
+    hop = (length[whose] - back + 1).astype("int32")
+    return pa.Table.from_arrays([pairs.dictionary.take(pa.array(whose)), names.dictionary.take(pa.array(key % max(many, 1))), pa.array(hop)], names=["od_id", "edge", "hop"])
+
+
+def reconstruct(answers: DataFrame, tree: DataFrame, searched: int = SEARCHED) -> DataFrame:
     """Every edge of every route with its hop number from the start (1-based).
 
-    By pointer doubling: tables of the 1st, 2nd, 4th ... predecessor, each the join of the one before with itself, until none
-    reaches that far; then from the last edge back, longest jump first, each table doubles what is known of the routes. A route of
-    ``n`` hops takes ``2 log2 n`` joins."""
-    jumps = [settle(tree.filter("prev IS NOT NULL").select("od_id", "edge", F.col("prev").alias("to")))]
+    Routes whose tree has at most ``searched`` edges are put in order in tasks, some together. Longer ones by pointer doubling: tables of the 1st, 2nd, 4th ...
+    predecessor, each the join of the one before with itself, until none reaches that far; then from the last edge back, longest jump first, each table doubles
+    what is known of the routes. A route of ``n`` hops takes ``2 log2 n`` joins."""
+    links = tree.filter("prev IS NOT NULL AND od_id IS NOT NULL").select("od_id", "edge", "prev")
+    asked = answers.filter("last_edge IS NOT NULL AND od_id IS NOT NULL").select("od_id", "last_edge")
+    sizes = settle(links.groupBy("od_id").agg(F.count("*").alias("_n"), F.count_distinct("edge").alias("_edges")))
+    # An edge with several before it branches.
+    large = sizes.filter(f"_n > {searched} OR _edges < _n").select("od_id")
+    several = not large.isEmpty()
+    n_steps = int((sizes.agg(F.sum("_n")).first()[0] or 0) // SMALL) + 1
+    home = lambda df: (df.join(large, "od_id", "left_anti") if several else df).join(sizes, "od_id", "left").withColumn("_step", F.when(F.coalesce("_n", F.lit(0)) <= SMALL, F.pmod(F.xxhash64("od_id"), F.lit(n_steps))).otherwise(F.xxhash64("od_id"))).drop("_n", "_edges")
+    ordered = home(asked).groupBy("_step").cogroup(home(links).groupBy("_step"))
+    out = ordered.applyInArrow(lambda a, t: _in_order(a, t), f"od_id {answers.schema['od_id'].dataType.simpleString()}, edge {answers.schema['last_edge'].dataType.simpleString()}, hop int")
+    if not several:
+        return out
+    jumps = [settle(links.join(large, "od_id", "left_semi").select("od_id", "edge", F.col("prev").alias("to")))]
     while not jumps[-1].isEmpty():
         far = jumps[-1].select("od_id", F.col("edge").alias("to"), F.col("to").alias("further"))
         jumps.append(settle(jumps[-1].join(far, ["od_id", "to"]).select("od_id", "edge", F.col("further").alias("to"))))
-    known = answers.filter("last_edge IS NOT NULL").select("od_id", F.col("last_edge").alias("edge"), F.lit(0).alias("back"))
+    known = asked.join(large, "od_id", "left_semi").select("od_id", F.col("last_edge").alias("edge"), F.lit(0).alias("back"))
     for k in range(len(jumps) - 2, -1, -1):
         more = known.join(jumps[k], ["od_id", "edge"]).select("od_id", F.col("to").alias("edge"), (F.col("back") + (1 << k)).alias("back"))
         known = settle(known.unionByName(more))
     length = known.groupBy("od_id").agg(F.max("back").alias("_n"))
-    return known.join(length, "od_id").select("od_id", "edge", (F.col("_n") - F.col("back") + 1).alias("hop"))
+    return out.unionByName(known.join(length, "od_id").select("od_id", "edge", (F.col("_n") - F.col("back") + 1).alias("hop")))
 
 
 def route_lines(hops: DataFrame, segments: DataFrame) -> DataFrame:

@@ -79,3 +79,43 @@ def test_long_street_is_contracted_to_its_end(spark):
     arcs = graph.contract(e, t)
     core = arcs.filter(f"lu = {graph.CORE}").select("u").union(arcs.filter(f"lw = {graph.CORE}").select("w")).distinct().count()
     assert core <= 60
+
+
+@pytest.mark.parametrize("searched", [graph.SEARCHED, 3])
+def test_searches_in_tasks_and_by_joins_agree(spark, monkeypatch, searched):
+    """One-way rings with cross streets; pairs for several areas, repeated pairs, pairs of one edge and areas without a turn; in tasks, or by joins."""
+    rng = random.Random(8)
+    segments = [(a, f"{a}{i}", f"v{i}", f"v{(i + 1) % 60}", float(rng.randrange(1, 9))) for a in "AB" for i in range(60)]
+    segments += [(a, f"{a}x{i}", f"v{i}", f"v{(i * 7 + 3) % 60}", float(rng.randrange(1, 9))) for a in "AB" for i in range(0, 60, 4)] + [("C", "c0", "v0", "v1", 4.0), ("C", "c1", "v1", "v0", 5.0)]
+    e = spark.createDataFrame(segments, "area_id string, segment_id string, from_node string, to_node string, distance_m double")
+    turns = [(s[0], s[1], t[1]) for s in segments for t in segments if s[0] == t[0] != "C" and s[3] == t[2]]
+    t = spark.createDataFrame(turns, "area_id string, incoming string, outgoing string")
+    od = [(f"p{k}", rng.choice("AB"), f"v{rng.randrange(60)}", f"v{rng.randrange(60)}") for k in range(30)]
+    od += [od[0], ("one", "C", "v0", "v1"), ("two", "C", "v1", "v0"), ("both", "A", "v1", "v9"), ("both", "B", "v1", "v9"), (None, "A", "v1", "v2"), ("lost", "A", "v1", None), ("far", "Z", "v1", "v2")]
+    rounds, by_joins = [], graph._spread
+    monkeypatch.setattr(graph, "_spread", lambda *a, **k: rounds.append(1) or by_joins(*a, **k))
+    pairs = spark.createDataFrame(od, "od_id string, area_id string, origin string, destination string")
+    for some in (pairs.filter("od_id <> 'both'"), pairs):
+        answers, tree = graph.shortest_paths(e, t, some, searched=searched)
+        cost, allowed = {s[:2]: s[4] for s in segments}, {}
+        for area, a, b in turns:
+            allowed.setdefault((area, a), []).append((area, b))
+        hops = {}
+        for r in sorted(graph.reconstruct(answers, tree, searched=searched).collect(), key=lambda r: r.hop):
+            hops.setdefault(r.od_id, []).append((r.hop, r.edge))
+        got = answers.collect()
+        assert len(got) == some.count() and (searched == 3 or some is pairs or not rounds)
+        for r in got:
+            if r.od_id in (None, "both"):
+                continue
+            if r.origin == r.destination:
+                assert (r.status, r.total_m) == ("ok", 0.0)
+                continue
+            starts = [s[:2] for s in segments if (s[0], s[2]) == (r.area_id, r.origin)]
+            want = dijkstra(cost, allowed, starts, {s[:2] for s in segments if (s[0], s[3]) == (r.area_id, r.destination)})
+            assert (r.total_m, r.status) == (want, "no_route" if want is None else "ok")
+            if want is not None:
+                route = [x for _, x in hops[r.od_id]][:: 2 if r.od_id == "p0" else 1]
+                assert sum(cost[r.area_id, x] for x in route) == want and route[-1] == r.last_edge and (r.area_id, route[0]) in starts
+                assert [h for h, _ in hops[r.od_id]][:: 2 if r.od_id == "p0" else 1] == list(range(1, len(route) + 1))
+        assert rounds or some is not pairs
