@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.operators import clip, lists, locate, planar
+from terrafold.operators import buildable, clip, lists, locate, planar
 from terrafold.session import settle
 from terrafold.sources import geojson
 
@@ -237,3 +237,13 @@ def test_edges_meet_in_numpy_as_by_definition():
     columns = {"pe": [p for p, _ in pairs], "qe": [q for _, q in pairs]} | {f"{o}_{c}": [edges[pair[k]][i] for pair in pairs] for k, o in enumerate("pq") for i, c in enumerate(planar.ENDS)}
     met = planar._meetings(pa.RecordBatch.from_pydict(columns)).to_pylist()
     assert sorted((m["eid"], m["x"], m["y"]) for m in met) == [(1, 20, 20), (1, 50, 50), (1, 50, 50), (2, 50, 50), (4, 100, 100)]
+
+
+def test_long_keys_of_blocks_go_through_the_overlay_as_numbers(spark, monkeypatch):
+    kinds, whole = [], planar.overlay
+    monkeypatch.setattr(planar, "overlay", lambda shapes, *a: kinds.append(shapes.schema["key"].dataType.simpleString()) or whole(shapes, *a))
+    square = "transform(array(0, 1, 2, 3, 0), i -> named_struct('x', IF(i IN (1, 2), 40.0D, 0.0D), 'y', IF(i > 1, 40.0D, 0.0D)))"
+    rows = spark.range(3).selectExpr("IF(id < 2, concat(repeat('segment-', 20), id), NULL) AS block_id", f"{square} AS local", f"array(named_struct('hw', 3.0D, 'line', slice({square}, 1, 2))) AS roads")
+    got = {r.block_id: r.a for r in buildable.buildable_rings(rows).groupBy("block_id").agg(F.sum("area_m2").alias("a")).collect()}
+    assert kinds == ["bigint"] and set(got) == {"segment-" * 20 + i for i in "01"}
+    assert all(abs(a - 40 * 37) < 1 for a in got.values())
